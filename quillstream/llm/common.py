@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word: a run of characters other than space, tab, \n, \v, \f, \r. Java, Python and RE2 read it alike.
@@ -68,7 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
         if not n:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)
         ends, start = np.cumsum(sizes), 0
         while start < n:
             before = ends[start - 1] if start else 0
@@ -81,7 +82,7 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.n
     """The UTF-8 bytes of all texts of a slice and the n + 1 offsets of the texts in them; null: empty."""
     col = batch.column(batch.schema.get_field_index(column))
     if col.null_count:
-        col = pa.compute.fill_null(col, "")
+        col = pc.fill_null(col, "")
     col = col.cast(pa.large_string())
     offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
     data = col.buffers()[2]
