@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from .mixing import op7_mixing
 from .packing import op8_packing
+from .quality import op5_quality_rules
+from .secrets import op9_secret_scan
 
 QUERIES = {
+    "op5_quality_rules": op5_quality_rules,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,0 +1,55 @@
+import hashlib
+import random
+import re
+
+from quillstream.llm import secrets
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def plain(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text or "") if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text or "") if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text or "") if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def check(got, text):
+    for r in got:
+        want = plain(text[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == j for _, k, _ in want) for j in range(3))
+        said = [f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in want]
+        assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert not set(said) - set(r.spans.split(",")) - {""}
+
+
+def test_query_matches_brute_force(spark, sf):
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = secrets.op9_secret_scan(spark, sf).collect()
+    assert len(got) == len(text)
+    check(got, text)
+
+
+def test_defined_cases(spark, docs, rows, none, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = secrets.op9_secret_scan(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    check(got, {r[0]: r[1] for r in rows})
+    clean = secrets.redact(docs, "[secret]").collect()
+    assert len(clean) == len(rows) and clean[0].asDict().keys() == dict.fromkeys(docs.columns).keys()
+    by = {r.doc_id: r for r in clean}
+    assert by[0].text is None and by[5].text == rows[5][1]
+    assert "24be6443" not in by[12].text and "AKIA" not in by[12].text and by[12].n_chars == len(by[12].text)
+    assert secrets.redact(none).count() == 0
+
+
+def test_random_tokens_are_added_and_words_are_not(spark):
+    rng = random.Random(3)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = lambda: "".join(rng.choice(alphabet) for _ in range(40))
+    word = lambda: "".join(rng.choice(["the", "ing", "tion", "and", "er"]) for _ in range(9)) + "1"
+    docs = spark.createDataFrame([(i, f"see {key()} here" if i < 100 else f"see {word()} here") for i in range(300)], "doc_id long, text string")
+    s = secrets.scan(docs)
+    at = secrets.thresholds(s)
+    got = {r.doc_id: r.n for r in s.select("doc_id", secrets.F.size(secrets.added(at)).alias("n")).collect()}
+    assert sum(got[i] for i in range(100)) >= 90 and sum(got[i] for i in range(100, 300)) == 0
