@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space, tab, \n, \v, \f, \r. Java, Python and RE2 read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -88,3 +89,17 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.n
     data = col.buffers()[2]
     whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+#: Stands for a null doc_id while documents are worked on.
+NO_ID = -(1 << 63)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id and text; a null id becomes NO_ID, so that ids are plain numbers in Arrow batches."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string"))
+
+
+def unkeyed(df: DataFrame, *columns: str) -> DataFrame:
+    """NO_ID becomes null again in doc_id and the given columns."""
+    return df.withColumns({c: F.when(F.col(c) != NO_ID, F.col(c)) for c in ("doc_id", *columns)})
