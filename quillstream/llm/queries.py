@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html_extract import op2_html_extract
 from .jaccard import op6_jaccard_join
 from .mixing import op7_mixing
 from .packing import op8_packing
@@ -15,6 +16,7 @@ from .urls import op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_html_extract": op2_html_extract,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_nearest": op4_nearest,
     "op5_quality_rules": op5_quality_rules,
