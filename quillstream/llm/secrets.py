@@ -7,6 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from .common import scratch, table
 
 #: Kind, pattern, whether the match counts.
@@ -88,32 +89,43 @@ def battery(token: Column) -> Column:
     statistic, runs above and below the alphabet's middle, and serial correlation of neighbours;
     joined by Bonferroni's rule.
     """
-    body = F.regexp_replace(token, "=+$", "")
-    k = encoding(body)
-    alphabet = F.element_at(F.array(*(F.lit(a) for _, a in ALPHABETS)), k + 1)
-    size = F.length(alphabet).cast("double")
-    chars = F.filter(F.split(body, ""), lambda c: c != "")
-    # - and _ stand for + and / in the other variant of base64.
-    index = F.transform(chars, lambda c: F.pmod(F.instr(alphabet, c) - 1, F.lit(64)))
-    n = F.size(chars).cast("double")
-    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter(chars, lambda x: x == c)).cast("double"), 2))
-    df = F.least(size, F.lit(64.0)) - 1
-    chi = (df + 1) * squares / n - n
-    p_chi = _upper_tail((chi - df) / F.sqrt(2 * df * (n - 1) / n))
-    high = F.transform(index, lambda i: (i >= (df + 1) / 2).cast("int"))
-    n1 = F.aggregate(high, F.lit(0.0), lambda s, x: s + x)
-    n0 = n - n1
-    pairs = F.zip_with(F.slice(high, 1, F.size(high) - 1), F.slice(high, 2, F.size(high)), lambda a, b: (a != b).cast("int"))
-    runs = 1 + F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
-    mean = 1 + 2 * n1 * n0 / n
-    var = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))
-    p_runs = F.when((n1 == 0) | (n0 == 0), F.lit(0.0)).otherwise(2 * _upper_tail(F.abs(runs - mean) / F.sqrt(var)))
-    mu = F.aggregate(index, F.lit(0.0), lambda s, x: s + x) / n
-    ss = F.greatest(F.aggregate(index, F.lit(0.0), lambda s, x: s + F.pow(x - mu, 2)), F.lit(1e-9))
-    lag = F.zip_with(F.slice(index, 1, F.size(index) - 1), F.slice(index, 2, F.size(index)), lambda a, b: (a - mu) * (b - mu))
-    r = F.aggregate(lag, F.lit(0.0), lambda s, x: s + x) / ss
-    p_serial = 2 * _upper_tail(F.abs(r + 1 / n) * F.sqrt(n))
-    return F.struct(k.alias("k"), F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)).alias("p"))
+    none = F.lit(0.0)
+
+    def of_body(body: Column) -> Column:
+        return let(encoding(body), lambda k: let(F.element_at(F.array(*(F.lit(a) for _, a in ALPHABETS)), k + 1), lambda a: of_chars(body, k, a)))
+
+    def of_chars(body: Column, k: Column, alphabet: Column) -> Column:
+        chars = F.filter(F.split(body, ""), lambda c: c != "")
+        # - and _ stand for + and / in the other variant of base64.
+        both = lambda c: let(F.transform(c, lambda x: F.pmod(F.instr(alphabet, x) - 1, F.lit(64))), lambda i: tests(c, i, k, F.least(F.length(alphabet), F.lit(64)) - 1))
+        return let(chars, both)
+
+    def tests(chars: Column, index: Column, k: Column, df: Column) -> Column:
+        n = F.size(chars).cast("double")
+        squares = F.aggregate(F.array_distinct(chars), none, lambda s, c: s + F.pow(F.size(F.filter(chars, lambda x: x == c)).cast("double"), 2))
+        p_chi = let(squares, lambda q: _upper_tail(((df + 1) * q / n - n - df) / F.sqrt(2 * df * (n - 1) / n)))
+        pairs = lambda a, f: F.zip_with(F.slice(a, 1, F.size(a) - 1), F.slice(a, 2, F.size(a)), f)
+        total = lambda a: F.aggregate(a, none, lambda s, x: s + x)
+
+        def of_runs(high: Column) -> Column:
+            runs = 1 + total(pairs(high, lambda a, b: (a != b).cast("int")))
+            return let(F.struct(total(high).alias("n1"), runs.alias("r")), lambda v: run_test(v["n1"], n - v["n1"], v["r"]))
+
+        def run_test(n1: Column, n0: Column, runs: Column) -> Column:
+            mean = 1 + 2 * n1 * n0 / n
+            var = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))
+            return F.when((n1 == 0) | (n0 == 0), none).otherwise(2 * _upper_tail(F.abs(runs - mean) / F.sqrt(var)))
+
+        def serial(mu: Column) -> Column:
+            ss = F.greatest(F.aggregate(index, none, lambda s, x: s + F.pow(x - mu, 2)), F.lit(1e-9))
+            r = total(pairs(index, lambda a, b: (a - mu) * (b - mu))) / ss
+            return let(F.abs(r + 1 / n) * F.sqrt(n), lambda z: 2 * _upper_tail(z))
+
+        p_runs = let(F.transform(index, lambda i: (i >= (df + 1) / 2).cast("int")), of_runs)
+        p = F.least(p_chi, p_runs, let(total(index) / n, serial))
+        return F.struct(k.alias("k"), F.least(F.lit(1.0), 3 * p).alias("p"))
+
+    return let(F.regexp_replace(token, "=+$", ""), of_body)
 
 
 def candidates(text: Column) -> Column:
@@ -121,10 +133,9 @@ def candidates(text: Column) -> Column:
     mixed = F.filter(found(text, TOKEN), lambda m: m["m"].rlike("[0-9]") & m["m"].rlike("[A-Za-z]"))
 
     def one(m: Column) -> Column:
-        b = battery(m["m"])
         n = m["end"] - m["start"]
         size = F.when(n < 32, 0).when(n < 48, 1).otherwise(2)
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), (b["k"] * 3 + size).alias("c"), b["p"].alias("p"))
+        return let(battery(m["m"]), lambda b: F.struct(m["start"].alias("start"), m["end"].alias("end"), (b["k"] * 3 + size).alias("c"), b["p"].alias("p")))
 
     return F.transform(mixed, one)
 
