@@ -206,11 +206,11 @@ def safe_name(value: Column, default: str = "item", most: int = 80) -> Column:
 
 def parse_pages(value: Column) -> Column:
     """ "61-65,70" as sorted distinct numbers; a range that runs backwards is empty."""
-    parts = F.filter(F.transform(F.split(value, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(value, ","), lambda p: F.trim(p)), lambda p: p != "")
 
     def numbers(p: Column) -> Column:
-        a = F.split_part(p, F.lit("-"), F.lit(1)).cast("long")
-        b = F.when(F.contains(p, F.lit("-")), F.split_part(p, F.lit("-"), F.lit(2)).cast("long")).otherwise(a)
+        a = F.split_part(p, F.lit("-"), F.lit(1)).try_cast("long")
+        b = F.when(F.contains(p, F.lit("-")), F.split_part(p, F.lit("-"), F.lit(2)).try_cast("long")).otherwise(a)
         return F.when(b < a, F.array().cast("array<bigint>")).otherwise(F.sequence(a, F.greatest(a, b)))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, numbers))))
