@@ -88,7 +88,7 @@ def train(classes: DataFrame, centroids: int, sample: int) -> Index:
     return Index(kmeans(x[:, :h], centroids, seed=4), kmeans(x[:, h:], centroids, seed=5))
 
 
-def search(rows: DataFrame, every: int = 20, k: int = 20, centroids: int = 24, share: float = 0.5, sample: int = 20_000, block: int = 8192) -> DataFrame:
+def search(rows: DataFrame, every: int = 20, k: int = 20, centroids: int = 24, share: float = 0.65, sample: int = 20_000, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest by inner product of each row whose id ``every`` divides.
 
     ``share`` of all different vectors is ranked again per query: on data without structure, such
