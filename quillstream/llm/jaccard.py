@@ -15,7 +15,7 @@ from .wordhash import Hasher, mix, words
 
 _U = np.uint64
 #: Counters of how many documents have a shingle, shared by the shingles with the same top bits.
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 #: Cells of a document's histogram of shingles, for the suffix filter.
 CELLS = 64
 #: A token that so many documents have is dealt with in parts.
@@ -41,7 +41,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, hasher: Hasher, n: int) -> l
 def sketch(docs: DataFrame, n: int) -> np.ndarray:
     """For each counter the number of documents with such a shingle, over all documents.
 
-    4 MB of counts whatever the corpus; they are summed on the executors block by block, in two
+    32 MB of counts whatever the corpus (16 MB when broadcast); they are summed on the executors block by block, in two
     steps so that no task meets the blocks of all partitions.
     """
     size, blocks = 1 << SKETCH_BITS, 64
@@ -212,12 +212,18 @@ def join(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFrame:
     entries = sets.select(F.col("doc_id").alias("id"), "n", F.posexplode("tokens").alias("pos", "token"))
     order = [F.col("n"), F.col("id")]
     near = scratch(chain(entries, order, threshold))
-    tried = scratch(suffix_filter(near.where("ok").select("x", "y").distinct(), sets, threshold))
-    links = scratch(verify(tried, docs, n, threshold))
+    pairs = scratch(near.groupBy("x", "y").agg(F.count("*").alias("shared"), F.bool_or("ok").alias("ok")))
+    # First the neighbour with most tokens in common, one pair per document; then what that left apart.
+    likely = pairs.where("ok").groupBy("y").agg(F.max_by("x", F.struct("shared", (-F.col("x")).alias("m"))).alias("x"))
+    links = scratch(verify(scratch(suffix_filter(likely, sets, threshold)), docs, n, threshold))
     comp = components(links)
-    # Tokens with neighbours that aren't connected.
-    loose = near.join(links, ["x", "y"], "left_anti").select("token", "x", "y")
-    loose = _named(_named(loose, comp, "x"), comp, "y").where("cx <> cy").select("token").distinct()
+    apart = _named(_named(pairs, comp, "x"), comp, "y").where("cx <> cy")
+    further = apart.where("ok").join(likely, ["x", "y"], "left_anti")
+    links = links.unionByName(scratch(verify(scratch(suffix_filter(further, sets, threshold)), docs, n, threshold)))
+    comp = components(links)
+    # Tokens with neighbours that still aren't connected.
+    apart = _named(_named(pairs, comp, "x"), comp, "y").where("cx <> cy")
+    loose = near.join(apart, ["x", "y"], "left_semi").select("token").distinct()
     some = scratch(entries.join(loose, "token", "left_semi"))
     some = _named(some.withColumnRenamed("id", "x"), comp, "x")
     some = scratch(some)
@@ -225,7 +231,7 @@ def join(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFrame:
     # Of two components' documents the longer ones look for the shorter ones.
     cross = a.join(b, "token").where("cx <> cy").where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("x") < F.col("y"))))
     cross = cross.where(_filters(F.col("n"), F.col("m"), F.col("pos"), F.col("q"), threshold)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    more = scratch(verify(scratch(suffix_filter(cross.join(tried, ["x", "y"], "left_anti"), sets, threshold)), docs, n, threshold))
+    more = scratch(verify(scratch(suffix_filter(cross.join(pairs.where("ok"), ["x", "y"], "left_anti"), sets, threshold)), docs, n, threshold))
     links = links.unionByName(more)
     comp = components(links)
     member = sig.select("doc_id", "n", "a", "b").join(classes, ["n", "a", "b"], "left")
