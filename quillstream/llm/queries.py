@@ -5,6 +5,7 @@ from __future__ import annotations
 from .html_extract import op2_html_extract
 from .jaccard import op6_jaccard_join
 from .mixing import op7_mixing
+from .oracle import OP3, OP7
 from .packing import op8_packing
 from .neighbours import op4_nearest
 from .quality import op5_quality_rules
@@ -27,4 +28,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": URL_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": URL_SQL, "op3_substring_dedup": OP3, "op7_mixing": OP7}
