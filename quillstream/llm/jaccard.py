@@ -221,17 +221,23 @@ def join(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFrame:
     further = apart.where("ok").join(likely, ["x", "y"], "left_anti")
     links = links.unionByName(scratch(verify(scratch(suffix_filter(further, sets, threshold)), docs, n, threshold)))
     comp = components(links)
-    # Tokens with neighbours that still aren't connected.
-    apart = _named(_named(pairs, comp, "x"), comp, "y").where("cx <> cy")
-    loose = near.join(apart, ["x", "y"], "left_semi").select("token").distinct()
-    some = scratch(entries.join(loose, "token", "left_semi"))
-    some = _named(some.withColumnRenamed("id", "x"), comp, "x")
-    some = scratch(some)
+    some = scratch(_loose(near, pairs, entries, comp))
+    # A hub that resembles many documents which hardly resemble one another: of each such token the
+    # document with most of these tokens in its prefix is tried against the others.
+    hub = Window.partitionBy("token")
+    fame = some.groupBy("x").agg(F.count("*").alias("fame"))
+    star = some.join(fame, "x").withColumn("h", F.max(F.struct("fame", (-F.col("x")).alias("m"), "x", "n", "pos", "cx")).over(hub)).where("cx <> h.cx")
+    star = star.where(_filters(F.col("n"), F.col("h.n"), F.col("pos"), F.col("h.pos"), threshold)).select(F.least("x", "h.x").alias("x"), F.greatest("x", "h.x").alias("y")).distinct()
+    star = scratch(star.join(pairs.where("ok"), ["x", "y"], "left_anti"))
+    links = links.unionByName(scratch(verify(scratch(suffix_filter(star, sets, threshold)), docs, n, threshold)))
+    comp = components(links)
+    tested = pairs.where("ok").select("x", "y").unionByName(star)
+    some = scratch(_loose(near, pairs, some.withColumnRenamed("x", "id"), comp))
     a, b = some.select("token", "x", "n", "pos", "cx"), some.select("token", F.col("x").alias("y"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("cx").alias("cy"))
     # Of two components' documents the longer ones look for the shorter ones.
     cross = a.join(b, "token").where("cx <> cy").where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("x") < F.col("y"))))
     cross = cross.where(_filters(F.col("n"), F.col("m"), F.col("pos"), F.col("q"), threshold)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    more = scratch(verify(scratch(suffix_filter(cross.join(pairs.where("ok"), ["x", "y"], "left_anti"), sets, threshold)), docs, n, threshold))
+    more = scratch(verify(scratch(suffix_filter(cross.join(tested, ["x", "y"], "left_anti"), sets, threshold)), docs, n, threshold))
     links = links.unionByName(more)
     comp = components(links)
     member = sig.select("doc_id", "n", "a", "b").join(classes, ["n", "a", "b"], "left")
@@ -246,6 +252,13 @@ def _named(rows: DataFrame, comp: DataFrame, col: str) -> DataFrame:
     return rows.join(c, col, "left").withColumn(f"c{col}", F.coalesce(f"c{col}", col))
 
 
+def _loose(near: DataFrame, pairs: DataFrame, entries: DataFrame, comp: DataFrame) -> DataFrame:
+    """Entries (token, x, n, pos, cx) of tokens with neighbours that aren't connected yet."""
+    apart = _named(_named(pairs, comp, "x"), comp, "y").where("cx <> cy")
+    tokens = near.join(apart, ["x", "y"], "left_semi").select("token").distinct()
+    return _named(entries.select("token", F.col("id").alias("x"), "n", "pos").join(tokens, "token", "left_semi"), comp, "x")
+
+
 def deduplicate(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id, once."""
     keep = join(docs, n, threshold).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
