@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -227,49 +229,134 @@ def best_fit(lengths: list[int], limit: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], limit: int, rounds: int = 4, receivers: int = 400) -> list[list[int]]:
-    """Move documents, exchange one for one and two for one between underfull bins, as long as the
-    sum of squared fills grows; bins that become empty go.
+class _Units:
+    """Single pieces or pairs of one bin, by length: of each length the one whose bin has the least besides it.
 
-    A change between bins with fills a >= b that makes them a + d and b - d raises the sum of
-    squares, so only changes with 0 < d <= room(a) are looked for: what leaves the emptier bin is
-    d longer than what comes back. The emptiest four bins give to the ``receivers`` with most room,
-    for ``rounds`` rounds at most, and not at all once as few bins are left as the sum of lengths
-    needs. The bounds are on search effort; every document stays in a bin.
+    ``rest`` and ``bin`` have that bin's other tokens and its number. A heap per length has all
+    bins; entries of a bin that has changed since (another ``version``) are dropped when met.
     """
+
+    def __init__(self, limit: int, version: list[int]) -> None:
+        self.rest, self.bin = np.full(limit + 1, 1 << 40, np.int64), np.full(limit + 1, -1, np.int64)
+        self.heap: list[list[tuple[int, int, int]]] = [[] for _ in range(limit + 1)]
+        self.version = version
+
+    def top(self, size: int, but: int = -1) -> tuple[int, int]:
+        """The least rest and its bin, other than ``but``."""
+        h, kept = self.heap[size], None
+        while h and (self.version[h[0][1]] != h[0][2] or h[0][1] == but):
+            e = heappop(h)
+            if self.version[e[1]] == e[2]:
+                kept = e
+        out = h[0][:2] if h else (1 << 40, -1)
+        if kept:
+            heappush(h, kept)
+        return out
+
+    def add(self, size: int, rest: int, b: int) -> None:
+        heappush(self.heap[size], (rest, b, self.version[b]))
+        if rest < self.rest[size]:
+            self.rest[size], self.bin[size] = rest, b
+
+    def refresh(self, sizes: list[int]) -> None:
+        for size in sizes:
+            self.rest[size], self.bin[size] = self.top(size)
+
+
+def local_search(bins: list[list[int]], lengths: list[int], limit: int) -> list[list[int]]:
+    """Move documents, exchange one for one, two for one and one for two between underfull bins, until
+    a pass over all of them finds nothing that raises the sum of squared fills; bins that become empty go.
+
+    A unit is nothing, a piece or a pair of one bin; its rest is what the bin has besides it. To
+    exchange v of bin a for a longer u of another bin raises the sum of squares by twice
+    (length of u - length of v) * (rest of v - rest of u), so of each length only the unit with the
+    least rest counts, and v meets all bins at once: a slice over the lengths that fit. Equal
+    lengths in a bin are one unit, so a bin has at most some 2,000 pairs for 2,048 tokens. Every
+    change raises an integer that is bounded, so the search ends.
+    """
+    bins = [list(b) for b in bins]
     fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(lengths) // limit)
-    for _ in range(rounds):
-        open_ = sorted((b for b in range(len(bins)) if 0 < fill[b] < limit), key=lambda b: -fill[b])
-        if sum(map(bool, bins)) <= least:
-            break
-        changed, donors = False, open_[::-1][:4]
-        for a in open_[-receivers:]:
-            for b in donors:
-                if a == b or not bins[b] or fill[b] > fill[a] or fill[a] == limit:
-                    continue
-                room = limit - fill[a]
-                best = max(((lengths[x], (), (x,)) for x in bins[b] if lengths[x] <= room), default=(0, (), ()))
-                if best[0] < room:
-                    for y in bins[a]:
-                        for k, x in enumerate(bins[b]):
-                            if best[0] < (d := lengths[x] - lengths[y]) <= room:
-                                best = (d, (y,), (x,))
-                            for z in bins[b][k + 1 :] if len(bins[b]) <= 32 else ():
-                                if best[0] < (d := lengths[x] + lengths[z] - lengths[y]) <= room:
-                                    best = (d, (y,), (x, z))
-                        for y2 in bins[a]:
-                            if y2 > y:
-                                for x in bins[b]:
-                                    if best[0] < (d := lengths[x] - lengths[y] - lengths[y2]) <= room:
-                                        best = (d, (y, y2), (x,))
-                d, out, into = best
-                if d > 0:
-                    bins[a] = [i for i in bins[a] if i not in out] + list(into)
-                    bins[b] = [i for i in bins[b] if i not in into] + list(out)
-                    fill[a], fill[b], changed = fill[a] + d, fill[b] - d, True
-        if not changed:
-            break
+    version = [0] * len(bins)
+    ones, twos = _Units(limit, version), _Units(limit, version)
+
+    def units(b: int) -> tuple[list[int], list[int], list[int]]:
+        """Different lengths of a bin's pieces; those of its pairs, with the first piece's length."""
+        count = Counter(lengths[i] for i in bins[b])
+        sizes, pairs = sorted(count), {}
+        for k, x in enumerate(sizes):
+            for y in sizes[k + (count[x] < 2) :]:
+                pairs.setdefault(x + y, x)
+        return sizes, list(pairs), list(pairs.values())
+
+    def enter(b: int) -> None:
+        held[b] = units(b)
+        if 0 < fill[b] < limit:
+            for kind, sizes in ((ones, held[b][0]), (twos, held[b][1])):
+                for x in sizes:
+                    kind.add(x, fill[b] - x, b)
+
+    def best(kind: _Units, give: np.ndarray, a: int) -> tuple[int, int, int]:
+        """The largest gain, the place in ``give`` of what leaves bin a and the length of what comes."""
+        if not len(give):
+            return 0, 0, 0
+        come = give[:, None] + np.arange(1, limit - fill[a] + 1)
+        gain = (come - give[:, None]) * (fill[a] - give[:, None] - kind.rest[come])
+        at = int(gain.argmax())
+        return int(gain.flat[at]), at // gain.shape[1], int(come.flat[at])
+
+    def take(b: int, sizes: tuple[int, ...]) -> list[int]:
+        out = []
+        for x in sizes:
+            out.append(bins[b].pop(next(k for k, i in enumerate(bins[b]) if lengths[i] == x)))
+        return out
+
+    def improve(a: int) -> bool:
+        """Make the best change that fills bin a further."""
+        single, pair, first = held[a]
+        # What bin a has itself doesn't count.
+        own = [(kind, x) for kind, sizes in ((ones, single), (twos, pair)) for x in sizes if kind.bin[x] == a]
+        for kind, x in own:
+            kind.rest[x], kind.bin[x] = kind.top(x, a)
+        less = np.asarray(single, np.int64)
+        found = (
+            best(ones, np.append(0, less), a),
+            best(twos, less, a),
+            best(ones, np.asarray(pair, np.int64), a),
+        )
+        k = max(range(3), key=lambda i: found[i][0])
+        gain, at, come = found[k]
+        b = int((twos if k == 1 else ones).bin[come]) if gain > 0 else -1
+        for kind, x in own:
+            kind.refresh([x])
+        if b < 0:
+            return False
+        out = ((0, *single)[at : at + 1] if at else ()) if k == 0 else (single[at],) if k == 1 else (first[at], pair[at] - first[at])
+        into = (come,) if k != 1 else (x := held[b][2][held[b][1].index(come)], come - x)
+        old = [held[a], held[b]]
+        gone, got = take(a, out), take(b, into)
+        bins[a] += got
+        bins[b] += gone
+        d = come - sum(out)
+        fill[a], fill[b] = fill[a] + d, fill[b] - d
+        version[a] += 1
+        version[b] += 1
+        for s, p, _ in old:
+            ones.refresh([x for x in s if ones.bin[x] in (a, b)])
+            twos.refresh([x for x in p if twos.bin[x] in (a, b)])
+        enter(a)
+        enter(b)
+        return True
+
+    held: list[tuple[list[int], list[int], list[int]]] = [([], [], [])] * len(bins)
+    for b in range(len(bins)):
+        if 0 < fill[b] < limit:
+            enter(b)
+    changed = True
+    while changed:
+        changed = False
+        for a in sorted((b for b in range(len(bins)) if 0 < fill[b] < limit), key=lambda b: -fill[b]):
+            while 0 < fill[a] < limit and improve(a):
+                changed = True
     return [b for b in bins if b]
 
 
@@ -278,7 +365,7 @@ def pack(items: DataFrame, limit: int, group_items: int = 20_000) -> DataFrame:
 
     A full item is a sequence of its own and never shuffled with others. The rest is dealt by hash
     into groups of about ``group_items``, as many as the count asks for, each packed alone: memory
-    is bounded, and each group wastes one bin at most, which is nothing beside its thousands.
+    is bounded. What a group wastes is what its local search leaves; see the README for figures.
     """
     left = items.where(F.col("length") < limit)
     groups = max(1, -(-left.count() // group_items))

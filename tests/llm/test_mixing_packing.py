@@ -1,5 +1,7 @@
+import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations, product
 
 import numpy as np
 import public_tokenizers
@@ -94,3 +96,24 @@ def test_local_search_empties_bins():
     assert sorted(i for b in bins for i in b) == list(range(6))
     bins = packing.local_search([[0], [1, 4], [2], [3, 5]], lengths, 12)
     assert len(bins) == 3
+
+
+def test_local_search_ends_where_no_exchange_helps():
+    rng = random.Random(4)
+    for limit, low, high, n in [(2048, 412, 612, 2000), (60, 1, 40, 90), (40, 3, 11, 120), (30, 7, 13, 60)]:
+        lengths = [rng.randint(low, high) for _ in range(n)]
+        bins = packing.local_search(packing.best_fit(lengths, limit), lengths, limit)
+        assert sorted(i for b in bins for i in b) == list(range(n))
+        sets = [sorted(lengths[i] for i in b) for b in bins]
+        assert all(0 < sum(s) <= limit for s in sets)
+        if n == 2000:
+            assert len(bins) <= 1.01 * -(-sum(lengths) // limit)
+            continue
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if i == j:
+                    continue
+                for k, m in ((0, 1), (1, 1), (2, 1), (1, 2)):
+                    for out, into in product(combinations(a, k), combinations(b, m)):
+                        d = sum(into) - sum(out)
+                        assert not (0 < d <= limit - sum(a) and d > sum(b) - sum(a)), (a, b, out, into)
