@@ -8,20 +8,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillstream.llm.common import scratch, table
 from quillstream.llm.jaccard import deduplicate
 from quillstream.llm.mixing import mix_sources
 from quillstream.llm.packing import pack_documents
-from quillstream.llm.quality import judge
+from quillstream.llm.quality import retain
 from quillstream.llm.secrets import redact
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learned list reject go."""
-    kept = judge(docs, table(spark, sf_dir, "labels")).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return retain(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than space, tab, \n, \v, \f, \r. Java, Python and RE2 read it alike.
@@ -100,6 +100,43 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string"))
 
 
+def _digest() -> Column:
+    """A text's SHA-256; null: empty."""
+    return F.coalesce(F.unhex(F.sha2(F.col("text").cast("string"), 256)), F.lit(b""))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id and text as by keyed(), but with a number of its own for every different (doc_id, text).
+
+    Where no two rows have one id, the ids are such numbers, and the second result is None. Otherwise
+    doc_id has numbers in the order of ids (null first), equal for rows that are repeated, and the
+    second result has (key, doc_id, digest): which row has which number. Then texts are shuffled
+    and written once; a test of the ids alone decides.
+    """
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if d.groupBy("doc_id").count().where(f"count > 1 or doc_id = {NO_ID}").isEmpty():
+        return keyed(docs), None
+    d = d.withColumn("digest", _digest())
+    # Rows in order lie in partitions in order, so the numbers increase; writing them makes them last.
+    names = d.select("doc_id", "digest").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "digest")
+    names = scratch(names.select(F.monotonically_increasing_id().alias("key"), "doc_id", "digest"))
+    n = names.select("key", F.col("doc_id").alias("_d"), F.col("digest").alias("_h"))
+    d = d.join(n, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("digest") == F.col("_h")))
+    return scratch(d.select(F.col("key").alias("doc_id"), "text")), names
+
+
+def of_rows(docs: DataFrame, keys: DataFrame, names: DataFrame | None) -> DataFrame:
+    """The rows of ``docs``, each different (doc_id, text) once, whose number by numbered() is in ``keys`` (key)."""
+    if names is None:
+        kept = keys.select(F.when(F.col("key") != NO_ID, F.col("key")).alias("_d"))
+        return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left_semi")
+    row = [F.col("doc_id").cast("long").alias("_d"), _digest().alias("_h")]
+    kept = names.join(keys, "key", "left_semi").select(F.col("doc_id").alias("_kd"), F.col("digest").alias("_kh"))
+    d = docs.select(F.struct(*docs.columns).alias("_row"), *row)
+    d = d.join(kept, F.col("_d").eqNullSafe(F.col("_kd")) & (F.col("_h") == F.col("_kh")), "left_semi")
+    return d.dropDuplicates(["_d", "_h"]).select("_row.*")
+
+
 def unkeyed(df: DataFrame, *columns: str) -> DataFrame:
     """NO_ID becomes null again in doc_id and the given columns."""
     return df.withColumns({c: F.when(F.col(c) != NO_ID, F.col(c)) for c in ("doc_id", *columns)})

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, scratch, slices, table, texts, unkeyed
+from .common import numbered, of_rows, scratch, slices, table, texts, unkeyed
 from .components import components
 from .wordhash import Hasher, mix, words
 
@@ -203,9 +203,20 @@ def join(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFrame:
     documents aren't all connected by then, all their pairs across components follow, so no link
     between different components is lost, and a large group of near copies doesn't become all its
     pairs. Defined cases: null texts and texts without words have an empty set, link with nothing
-    and are their own component; a null id counts as the smallest; repeated rows are answered alike; an empty table gives no rows.
+    and are their own component; a null id counts as the smallest; rows with one id (or none) and
+    different texts are documents of their own; repeated rows are answered alike; an empty table gives no rows.
     """
-    docs = keyed(docs)
+    docs, names = numbered(docs)
+    out = linked(docs, n, threshold)
+    if names is None:
+        return unkeyed(out, "component_id")
+    out = out.withColumnRenamed("doc_id", "key").join(names.select("key", "doc_id"), "key")
+    of = names.select(F.col("key").alias("component_id"), F.col("doc_id").alias("_of"))
+    return out.join(of, "component_id").select("doc_id", "n_shingles", F.col("_of").alias("component_id"))
+
+
+def linked(docs: DataFrame, n: int, threshold: int) -> DataFrame:
+    """join() for documents whose ids are numbers of their own (see common.numbered)."""
     sig = scratch(signatures(docs, sketch(docs, n), n, threshold))
     classes = scratch(sig.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")))
     sets = sig.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
@@ -243,7 +254,7 @@ def join(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFrame:
     member = sig.select("doc_id", "n", "a", "b").join(classes, ["n", "a", "b"], "left")
     member = member.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     # A class stands under its smallest id, so the smallest representative is the smallest document.
-    return unkeyed(member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id")), "component_id")
+    return member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))
 
 
 def _named(rows: DataFrame, comp: DataFrame, col: str) -> DataFrame:
@@ -260,10 +271,13 @@ def _loose(near: DataFrame, pairs: DataFrame, entries: DataFrame, comp: DataFram
 
 
 def deduplicate(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id, once."""
-    keep = join(docs, n, threshold).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    """``docs`` with one document of each group: the one with the smallest id, once.
+
+    Of rows with one id and different texts each is a document; of repeated ones one stays.
+    """
+    rows, names = numbered(docs)
+    keep = linked(rows, n, threshold).where("doc_id = component_id").select(F.col("doc_id").alias("key"))
+    return of_rows(docs, keep, names)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

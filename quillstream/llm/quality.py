@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import scratch, slices, table, texts
 from .wordhash import Hasher, inside, mix, words
@@ -63,15 +64,19 @@ def counts(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> dict[str, n
     return out | {"n_lines": np.asarray(lines, np.int64), "n_dup_lines": np.asarray(dups, np.int64)}
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and COUNTS of every whole text; null: none of anything."""
+def statistics(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id and COUNTS of every whole text; null: none of anything. ``whole``: row, a struct of all columns, for doc_id."""
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(5)
         for part in slices(batches, "text"):
             c = counts(*texts(part), hasher)
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c[k].astype(np.int64)) for k in COUNTS)], names=["doc_id", *COUNTS])
+            row = pa.StructArray.from_arrays(part.columns, names) if whole else part.column(0)
+            yield pa.RecordBatch.from_arrays([row, *(pa.array(c[k].astype(np.int64)) for k in COUNTS)], names=["row" if whole else "doc_id", *COUNTS])
 
+    if whole:
+        return docs.mapInArrow(run, StructType([StructField("row", docs.schema), *(StructField(c, LongType()) for c in COUNTS)]))
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
@@ -185,6 +190,17 @@ def judge(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000) -> Dat
     return f.withColumn("kept", ~F.col("base_failed") & expression(rules)).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
+def retain(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000) -> DataFrame:
+    """The rows of ``docs`` that judge() keeps, with all their columns. Each row is judged by its own
+    text, whatever its id; only labelled documents' counts are gathered for the fit, and nothing is joined after it."""
+    ids = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    stats = scratch(statistics(labelled.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")))
+    rules = fit(stats, labels, max_labelled)
+    f = statistics(docs, whole=True).select("*", *features())
+    return f.where(~F.expr(BASE) & expression(rules)).select("row.*")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -94,3 +94,22 @@ def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(500, 400), (400, 450), (7, 7)]
     got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "x long, y long")).collect()}
     assert {i for i, c in got.items() if c == 0} >= set(range(1, 201)) and got[500] == got[450] == 400
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    def words(c, n=60):
+        return " ".join(f"{c}{i}" for i in range(n))
+
+    rows = [(None, words("a")), (None, words("b")), (None, words("b") + " end"), (None, None), (None, ""), (7, words("c")), (7, words("d")), (7, words("d")), (8, words("d") + " end"), (9, words("e")), (3, words("c") + " x")]
+    rows = [(d, t, i) for i, (d, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int")
+    got = jaccard.join(docs).collect()
+    keys = sorted({(d, t) for d, t, _ in rows}, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want = brute([(k, t) for k, (_, t) in enumerate(keys)])
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={d}, n_shingles={want[k][0]}, component_id={keys[want[k][1]][0]})" for d, t, _ in rows for k in [keys.index((d, t))])
+    kept = jaccard.deduplicate(docs)
+    assert kept.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(kept) == len(set(kept)) == 7
+    assert {(None, words("a")), (None, None), (None, ""), (7, words("d")), (9, words("e")), (3, words("c") + " x")} < set(kept)
+    assert sum(d is None and (t or "").startswith("b0") for d, t in kept) == 1

@@ -83,3 +83,12 @@ def test_run_applies_the_stages_in_order(spark, sf, monkeypatch):
     monkeypatch.setattr(p, "STAGES", [("a", cut), ("b", last)])
     got = p.run(spark, sf)
     assert got.columns == ["doc_id"] and {r.doc_id % 2 for r in got.collect()} == {0}
+
+
+def test_quality_judges_each_row_by_its_own_text(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    good, bad = " ".join(f"w{i}" for i in range(80)), "too short"
+    rows = [(None, good, "x"), (None, bad, "x"), (4, good, None), (4, bad, "y"), (4, good, None), (5, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string")
+    got = p.quality_rules(spark, docs, str(tmp_path))
+    assert got.schema == docs.schema and Counter(map(tuple, got.collect())) == Counter(r for r in rows if r[1] == good)
