@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, scratch, slices, table, texts, unkeyed
+from .common import numbered, scratch, slices, table, texts, unkeyed
 from .wordhash import Hasher, inside, mix, words
 
 _U = np.uint64
@@ -320,12 +320,13 @@ def remove_repeats(docs: DataFrame, length: int = 20, digest: bool = False) -> D
     """doc_id, n_words, n_removed and kept: the words that no repeated window covers, joined by a space.
 
     A window of ``length`` (even) words is repeated if its word sequence also starts earlier: in a
-    document with a smaller id, or earlier in the same one. ``digest``: kept is the SHA-256 of the
+    document with a smaller id, or earlier in the same one; of different texts with one id (or none)
+    the one with the smaller SHA-256 comes first. ``digest``: kept is the SHA-256 of the
     text instead of the text. Defined cases: null: no words; texts shorter than a window keep all;
     rows that repeat a document are treated alike and aren't earlier than one another; a null id
     counts as the smallest; an empty table gives no rows.
     """
-    d = keyed(docs)
+    d, names = numbered(docs)
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Buckets of about half a million entries; groups of about 4 MB of texts.
     buckets, groups = 1 + size // 20_000_000, 1 + size // 4_000_000
@@ -356,7 +357,11 @@ def remove_repeats(docs: DataFrame, length: int = 20, digest: bool = False) -> D
         return pa.Table.from_batches(parts, kinds)
 
     touched = _grouped(d, full, groups).groupBy("bucket").cogroup(full.groupBy("bucket")).applyInArrow(cut, OUT)
-    return unkeyed(d.mapInArrow(untouched, OUT).unionByName(touched))
+    out = d.mapInArrow(untouched, OUT).unionByName(touched)
+    if names is None:
+        return unkeyed(out)
+    out = out.withColumnRenamed("doc_id", "key").join(names.select("key", "doc_id"), "key")
+    return out.select("doc_id", "n_words", "n_removed", "kept")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,13 @@ def test_query_matches_brute_force(spark, sf):
     for r in got:
         n, gone, kept = want[r.doc_id]
         assert (r.n_words, r.n_removed, r.kept_sha256) == (n, gone, hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_rows_that_share_an_id_have_spans_of_their_own(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    own = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(None, f"{own('a', 500)} {passage}"), (None, passage), (None, passage + " end"), (None, own("b", 3)), (None, None), (None, passage), (5, f"{own('c', 90)} {passage}"), (5, passage[:-4]), (6, f"{own('c', 30)} x")]
+    texts = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).digest() if r[1] is not None else b""))
+    want = brute([(k, t) for k, (_, t) in enumerate(texts)])
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((d, *want[texts.index((d, t))])) for d, t in rows)
