@@ -55,8 +55,8 @@ class Page:
         return len(self.parent) - 1
 
 
-def _attributes(raw: str) -> tuple[tuple[str, ...], int]:
-    """Words of class, id, role and itemprop; the label of a training page."""
+def _attributes(raw: str, labelled: bool) -> tuple[tuple[str, ...], int]:
+    """Words of class, id, role and itemprop; the label of a training page (``labelled``)."""
     names, label = [], 0
     for m in _ATTR.finditer(raw):
         key = (m[1] or m[3]).lower()
@@ -64,13 +64,14 @@ def _attributes(raw: str) -> tuple[tuple[str, ...], int]:
             names += _NAME.findall(_CAMEL.sub(" ", m[2].strip("\"'")).lower())
         elif key == "hidden":
             names.append("hidden")
-        elif key == "data-y":
+        elif labelled and key == "data-y":
             label = int(m[2].strip("\"'"))
     return tuple(dict.fromkeys(names)), label
 
 
-def parse(source: str) -> Page:
-    """The block elements and runs of text of a page; markup that isn't well-formed is taken as browsers do, roughly."""
+def parse(source: str, labelled: bool = True) -> Page:
+    """The block elements and runs of text of a page; markup that isn't well-formed is taken as browsers do, roughly.
+    Labels (data-y) are read from ``labelled`` pages alone, which are generated; other pages may have anything there."""
     page, stack, run, linked = Page(), [("#page", 0)], [], 0
     dropped, links, at = 0, 0, 0
 
@@ -144,7 +145,7 @@ def parse(source: str) -> Page:
                 while k := nearest(ends, until):
                     pop(k)
             flush()
-            names, label = _attributes(raw) if raw else ((), 0)
+            names, label = _attributes(raw, labelled) if raw else ((), 0)
             top = next(n for _, n in reversed(stack) if n is not None)
             if tag in ("html", "body") and any(t == tag for t, _ in stack):
                 continue
@@ -358,7 +359,7 @@ def default_model(pages: int = 500, seed: int = 2) -> Model:
 
 def extract_pages(sources: list[str], model: Model, cut: float = 0.5) -> list[str]:
     """The main text of each page: runs of text whose marginal of being part of it is over ``cut``, joined by empty lines."""
-    pages = [parse(s) for s in sources]
+    pages = [parse(s, labelled=False) for s in sources]
     if not pages:
         return []
     f = Forest(pages, model.place)

@@ -64,3 +64,9 @@ def test_defined_cases(spark):
     got = sorted((r.page_id, r.text, r.n_chars) for r in h.extract(spark.createDataFrame(rows, schema)).collect())
     assert got == [(1, "", 0), (2, "", 0), (3, "Hello there.", 12), (3, "Hello there.", 12)]
     assert h.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_pages_with_label_attributes_of_their_own():
+    page = "<main><p{}>Text of the page, long enough.</p></main>"
+    for value in ("", ' data-y="50%"', ' data-y="0.5"', " data-y=''", ' data-y="1"', ' data-y="7"'):
+        assert texts(page.format(value)) == "Text of the page, long enough."
