@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+_TAG, _OTHER, _WORD = re.compile(r"<[^>]+>"), re.compile(r"[^\w']+"), re.compile(r"[\w']+")
+_LINE = re.compile(r"<Line(?:\s+[^>]*)?>(.*?)</Line>", re.I | re.S)
 OUT = "parent string, prediction string, regions bigint, incomplete boolean"
 
 
@@ -54,6 +57,8 @@ def merge_stream(predictions: DataFrame) -> DataFrame:
 class LoopStop(StatefulProcessor):
     """Chunks of generated text per key; the first verdict of the loop detectors latches.
 
+    All three detectors look at every word of a chunk, so a loop that ends within it counts too.
+
     The state is the last 16,384 characters and the verdict, whatever the length of the text.
     """
 
@@ -67,8 +72,9 @@ class LoopStop(StatefulProcessor):
         chunks = pd.concat(list(rows)).sort_values("seq")
         for chunk in chunks["chunk"]:
             if verdict is None:
-                tail = (tail + (chunk or ""))[-self.TAIL :]
-                verdict = repeated_word_suffix(tail)
+                text = tail + (chunk or "")
+                verdict = first_loop(text, len(tail))
+                tail = text[-self.TAIL :]
         self.state.update((tail, verdict))
         yield pd.DataFrame({"key": [key[0]], "verdict": [verdict]})
 
@@ -76,12 +82,41 @@ class LoopStop(StatefulProcessor):
         """No resources of its own."""
 
 
-def repeated_word_suffix(text: str) -> str | None:
-    """The verdict repeated_words if a block of 4 to 40 words ends the text three times."""
-    w = text.lower().split()
-    for n in range(4, min(40, len(w) // 3) + 1):
-        if w[-n:] == w[-2 * n : -n] == w[-3 * n : -2 * n]:
+def _words(text: str) -> list[str]:
+    return _OTHER.sub(" ", text.casefold()).split()
+
+
+def _thrice(a: list, n: int) -> bool:
+    return a[-n:] == a[-2 * n : -n] == a[-3 * n : -2 * n]
+
+
+def first_loop(text: str, seen: int = 0) -> str | None:
+    """The verdict at the first word, with the markup after it, that goes beyond the first ``seen``
+    characters and where a detector fires: repeated_lines, repeated_words or low_novelty, in this order.
+
+    Words and detectors are those of functions.text.loop_verdict: tags out, folded; up to four lines
+    of eight words or more, or 4 to 40 words, that stand three times; 64 words that hardly bring anything new.
+    """
+    plain = _TAG.sub(lambda m: " " * len(m[0]), text)
+    found = [(m.start(), w) for m in _WORD.finditer(plain) for w in _words(m[0])]
+    w, ends = [x for _, x in found], [at for at, _ in found[1:]] + [len(text)]
+    lines = [(m.end(), x) for m in _LINE.finditer(text) if (x := " ".join(_words(m[1])))]
+    have: list[str] = []
+    for i, end in enumerate(ends[: len(w)]):
+        new = False
+        while len(have) < len(lines) and lines[len(have)][0] <= end:
+            new = lines[len(have)][0] > seen
+            have.append(lines[len(have)][1])
+        if end <= seen:
+            continue
+        if new and any(_thrice(have, n) and len(" ".join(have[-n:]).split()) >= 8 for n in range(1, min(4, len(have) // 3) + 1)):
+            return "repeated_lines"
+        last = w[max(0, i - 119) : i + 1]
+        if any(last[-1] == last[-1 - n] and _thrice(last, n) for n in range(4, min(40, len(last) // 3) + 1)):
             return "repeated_words"
+        tail = last[-64:]
+        if len(tail) == 64 and len(set(tail)) / 64 <= 0.60 and 1 - len(set(zip(tail, tail[1:], tail[2:], tail[3:]))) / 61 >= 0.30:  # noqa: B905
+            return "low_novelty"
     return None
 
 

@@ -89,3 +89,16 @@ def test_recognizer(spark):
     pages = spark.createDataFrame([("1", "a.jpg", "page", 200, 0), ("2", "b.jpg", "page", 10, 0)], "id string, image string, task string, token_limit int, attempt long")
     got = {r.id: r.raw for r in recognizer.recognize(pages, recognizer.stub, "stub").collect()}
     assert got["1"].endswith("</HistoricalDocument>") and len(got["2"]) == 10
+
+
+def test_loop_stop_has_all_detectors(spark, tmp_path):
+    line = lambda n, w: f'<Line n="{n}">{" ".join(w)}</Line>\n'
+    long, plain = [f"w{i}" for i in range(50)], " ".join(f"v{i}" for i in range(300))
+    mutating = [f"the same sentence goes on and on and says number {i} of the same old story. " for i in range(12)]
+    rows = [("lines", i, line(i, long)) for i in range(3)]
+    rows += [("marked", i, line(i, ["One,", "two", "three;", "four"])) for i in range(3)]
+    rows += [("within", 0, "A b c d e. " * 3 + plain), ("clean", 0, plain), ("clean", 1, None), ("novelty", 0, "".join(mutating[:2])), ("novelty", 1, "".join(mutating[2:]))]
+    rows += [("split", i, x) for i, x in enumerate(["a b c d", "x e a b c ddx ", "q a b ", "c ddx e a b c ddx e a b c", " ddx e ", plain])]
+    got = run(spark, tmp_path, "l", rows, "key string, seq long, chunk string", merging.stop_loops)
+    assert {r.key: r.verdict for r in got} == {"lines": "repeated_lines", "marked": "repeated_words", "within": "repeated_words", "clean": None, "novelty": "low_novelty", "split": "repeated_words"}
+    assert merging.first_loop("".join(line(i, long[:10]) for i in range(3))) == "repeated_lines"
