@@ -82,17 +82,24 @@ def band_score(p: Column) -> Column:
     return let(F.struct(mean(p).alias("m"), quantile(p, 0.65).alias("q"), deviation(p).alias("d")), of)
 
 
+def smoothed(values: np.ndarray) -> np.ndarray:
+    """Gaussian smoothing with a width of a 500th of the profile, 1 at least, mirrored at the ends."""
+    v = np.asarray(values, float)
+    if len(v) < 2:
+        return v
+    sigma = max(1.0, len(v) / 500)
+    r = min(int(4 * sigma + 0.5), len(v) - 1)
+    k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    return np.convolve(np.pad(v, r, mode="reflect"), k / k.sum(), mode="valid")
+
+
+def intervals(mask: np.ndarray) -> np.ndarray:
+    """Rows (start, end) of consecutive true entries, as runs() has them."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], np.asarray(mask, np.int8), [0]])))
+    return edge.reshape(-1, 2)
+
+
 @pandas_udf(ArrayType(DoubleType()))
 def smooth(profiles: pd.Series) -> pd.Series:
-    """Gaussian smoothing with a width of a 500th of the profile, 1 at least (an Arrow UDF)."""
-
-    def one(p: np.ndarray) -> np.ndarray:
-        p = np.asarray(p, float)
-        if len(p) < 2:
-            return p
-        sigma = max(1.0, len(p) / 500)
-        r = min(int(4 * sigma + 0.5), len(p) - 1)
-        k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-        return np.convolve(np.pad(p, r, mode="reflect"), k / k.sum(), mode="valid")
-
-    return profiles.map(one)
+    """smoothed() of each profile (an Arrow UDF)."""
+    return profiles.map(smoothed)

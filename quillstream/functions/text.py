@@ -124,6 +124,15 @@ def ngrams(w: Column, n: int) -> Column:
     return let(w, of)
 
 
+def ngram_hashes(w: Column, n: int) -> Column:
+    """A 64-bit hash of each run of n entries."""
+    def of(a: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(a) - (n - 1), F.lit(1)))
+        return F.when(F.size(a) < n, F.array().cast("array<bigint>")).otherwise(F.transform(places, lambda i: F.xxhash64(F.slice(a, i, n))))
+
+    return let(w, of)
+
+
 def has_repetitive_loop(w: Column) -> Column:
     """At least eight words, and a run of two, three or four of them three times or more."""
 
@@ -133,9 +142,10 @@ def has_repetitive_loop(w: Column) -> Column:
             places = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
             return F.exists(places, lambda i: F.element_at(g, i) == F.element_at(g, i + 2))
 
-        return let(F.array_sort(ngrams(a, n)), of)
+        return let(F.array_sort(ngram_hashes(a, n)), of)
 
-    return let(w, lambda a: (F.size(a) >= 8) & (often(a, 2) | often(a, 3) | often(a, 4)))
+    hashed = F.transform(w, lambda x: F.xxhash64(x))
+    return let(hashed, lambda a: (F.size(a) >= 8) & (often(a, 2) | often(a, 3) | often(a, 4)))
 
 
 def _suffix_widths(a: Column, least: int, most: int) -> Column:
@@ -216,6 +226,7 @@ def parse_pages(value: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, numbers))))
 
 
+#: What a line of output says about progress, and the names of metrics that are shown.
 RATIOS = [r"(?i)\bepoch\s*[:#]?\s*(\d+)\s*(?:/|of)\s*(\d+)\b", r"(?i)\b(?:item|page|batch|step|file)s?\s*[:#]?\s*(\d+)\s*(?:/|of)\s*(\d+)\b", r"(?:^|[^\d.])(\d+)\s*/\s*(\d+)(?:[^\d.]|$)"]
 JSON_PAIRS = [("current", "total"), ("processed", "total"), ("completed", "total"), ("epoch", "epochs"), ("page", "pages"), ("page", "pages_total"), ("item", "items_total")]
 
@@ -235,10 +246,33 @@ def parse_progress(line: Column) -> Column:
     return F.coalesce(*tries)
 
 
-def argument_value(command: Column, flag: str) -> Column:
-    """The value of --flag v or --flag=v in a command line; null if it isn't there."""
-    v = F.regexp_extract(command, rf"(?:^|\s)--{flag}(?:=|\s+)(\S+)", 1)
-    return F.when(v != "", v)
+LINE_METRICS = ["loss", "train_loss", "validation_loss", "validation_iou", "iou", "f1", "cer", "wer", "accuracy"]
+
+
+def line_metrics(line: Column) -> Column:
+    """The numbers that a line which is a JSON object has under LINE_METRICS, as a map."""
+    return numbers_of(F.trim(F.regexp_replace(line, r"\x1b\[[0-?]*[ -/]*[@-~]", "")), LINE_METRICS)
+
+
+def numbers_of(json: Column, names: list[str]) -> Column:
+    """A map of the finite numbers under ``names`` of a JSON object; strings, booleans and others are left out."""
+    parsed = F.try_parse_json(json)
+    value = lambda k: F.when(F.schema_of_variant(F.try_variant_get(parsed, f"$.{k}", "variant")).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(parsed, f"$.{k}", "double"))
+    entries = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), value(k).alias("value")) for k in names)), lambda e: e["value"].isNotNull())
+    return F.when(F.startswith(F.trim(json), F.lit("{")) & parsed.isNotNull(), F.map_from_entries(entries)).otherwise(F.map_from_entries(F.array().cast("array<struct<key:string,value:double>>")))
+
+
+def argument_value(command: Column, *flags: str) -> Column:
+    """The value of --flag v or --flag=v in a command line, for the first place where one of the flags stands; null if there is none."""
+    found = F.regexp_extract(command, rf"(?:^|\s)--(?:{'|'.join(flags)})(?:=|\s+)(\S+)", 1)
+    return F.when(found != "", found)
+
+
+def human_name(command: Column) -> Column:
+    """The stem of the first script among a command's arguments, else of the program, with spaces for _."""
+    script = F.regexp_extract(command, r"\s(?:\S*/)?([^\s/]+)\.(?:py|sh|ps1)(?=\s|$)", 1)
+    program = F.regexp_extract(command, r"^\s*(?:\S*/)?([^\s/]+)", 1)
+    return F.replace(F.when(script != "", script).when(program != "", program).otherwise("unknown job"), F.lit("_"), F.lit(" "))
 
 
 def char_edits(a: Column, b: Column) -> Column:
@@ -248,9 +282,10 @@ def char_edits(a: Column, b: Column) -> Column:
 def word_edits(a: Column, b: Column) -> Column:
     """Edit distance of word lists: each different word becomes one character, then levenshtein.
 
-    Characters from U+4E00 on stand for the words, 20,000 different ones in a pair at most.
+    Characters from U+10000 on stand for the words, which are enough for a million different ones in
+    a pair. Time goes with the product of the lengths, as for every exact edit distance.
     """
-    char = lambda i: F.decode(F.unhex(F.lpad(F.hex(F.lit(19968) + i), 4, "0")), "UTF-16BE")
+    char = lambda i: F.decode(F.unhex(F.lpad(F.hex(F.lit(65536) + i), 8, "0")), "UTF-32")
 
     def of(known: Column) -> Column:
         code = lambda w: F.array_join(F.transform(w, lambda x: char(F.array_position(known, x))), "")
@@ -286,7 +321,11 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def line_similarity(a: Column, b: Column) -> Column:
     """0.72 of the words' ratio and 0.28 of the characters'; 0 if a side has no word."""
-    x, y = unicode_words(a), unicode_words(b)
+    return words_similarity(unicode_words(a), unicode_words(b))
+
+
+def words_similarity(x: Column, y: Column) -> Column:
+    """line_similarity() of lines whose words are known."""
     both = 0.72 * sequence_ratio(x, y) + 0.28 * sequence_ratio(F.array_join(x, " "), F.array_join(y, " "))
     return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(both)
 

@@ -34,6 +34,27 @@ def merge_pages(rows: DataFrame, partial: bool = False) -> DataFrame:
     return (g if partial else g.where("not _lacks")).drop("_lacks")
 
 
+def joined(regions: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Region rows for merge_pages(): every expected region (id, parent, idx, meaningful) with its prediction
+    (id, prediction, reasons, and whatever else it has), ``there`` false where none came.
+
+    A left join by id. Predictions of other regions are left out; see manifest.rejected_predictions().
+    """
+    p = predictions.withColumn("there", F.lit(True))
+    j = regions.select("id", "parent", "idx", "meaningful").join(p, "id", "left")
+    return j.withColumns({"there": F.coalesce("there", F.lit(False)), "reasons": F.coalesce("reasons", F.array().cast("array<string>")), "meaningful": F.coalesce("meaningful", F.lit(True))})
+
+
+def page_details(rows: DataFrame, *config: str) -> DataFrame:
+    """What else a merged page has, from the rows of merge_pages(): the raw texts in reading order, the
+    first region's ``config`` columns, and how many regions are expected and came."""
+    g = rows.groupBy("parent").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("idx", F.coalesce("raw", F.lit("")).alias("x")))), lambda s: s["x"]).alias("raw_regions"),
+        F.min_by(F.struct(*config), "idx").alias("first"), F.count("*").alias("expected"), F.count_if("there").alias("completed"),
+    )
+    return g.select("parent", "raw_regions", "first.*", "expected", "completed")
+
+
 def incomplete_pages(rows: DataFrame) -> DataFrame:
     """Pages that can't be merged, with the places of absent regions and of blank ones with content."""
     off = rows.where(lacking(F.col("there"), F.col("meaningful"), F.col("prediction")))
@@ -48,6 +69,14 @@ def best_attempt(rows: DataFrame, key: str, attempt: str, text: str, complete: s
     return rows.groupBy(key).agg(F.max_by(F.struct(attempt, text), rank).alias("b")).select(key, "b.*")
 
 
+def retry_wanted(incomplete: Column, loop_stopped: Column, selective: Column, continuous: Column, forced: Column, is_page: Column) -> Column:
+    """Whether a first attempt is tried again: it is incomplete and the budget isn't continuous; or it is
+    incomplete, recovery is selective and no loop ended it; or retries are forced and it is a page."""
+    known = lambda c: F.coalesce(c, F.lit(False))
+    i = known(incomplete)
+    return (i & ~known(continuous)) | (i & known(selective) & ~known(loop_stopped)) | (known(forced) & known(is_page))
+
+
 def until_clean(rows: DataFrame, key: str, attempt: str, clean: str) -> DataFrame:
     """Attempts up to the first clean one; all where none is."""
     first = F.min(F.when(F.col(clean), F.col(attempt))).over(Window.partitionBy(key))

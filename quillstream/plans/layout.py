@@ -117,3 +117,57 @@ def stacked_regions(spark: SparkSession, d: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
     r = table(spark, d, "lineitem").select(c("l_orderkey").alias("page"), place.cast("long").alias("o"), (c("l_partkey") % 500).alias("w"), c("l_quantity").cast("long").alias("h"))
     return layout.stack(r, "page", "o", "w", "h").select("page", "o", "x0", "y0")
+
+
+_GUTTER = f"""{_V}, q as (select vec_id, a, list_aggregate(a[4:18] || a[47:61], 'quantile_cont', 0.5) as ref, a[21:44] as c from v), t as (select *, list_transform(c, lambda x: x <= ref * 0.25) as m from q), {_RUNS.replace('from v)', 'from t)')},
+w as (select *, list_sort(list_transform(range(1, len(s) + 1), lambda k: {{'w': -(e[k] - s[k] + 1), 'o': abs(20 + (s[k] - 1 + e[k]) / 2 - 32), 's': s[k] - 1, 'e': e[k]}}))[1] as best from r),
+x as (select *, 20 + case when best is null then list_position(c, list_min(c)) - 1 else best['s'] end as lo, 20 + case when best is null then list_position(c, list_min(c)) else best['e'] end as hi, list_aggregate(c, 'quantile_cont', 0.2) as low from w),
+y as (select *, case when best is null then lo else (lo + hi) // 2 end as mid from x)
+select vec_id, round_even(mid * 1280 / 64, 0)::bigint as x, round_even(lo * 1280 / 64, 0)::bigint as run_left, round_even(hi * 1280 / 64, 0)::bigint as run_right, round(a[mid + 1], 6) as minimum, round(ref, 6) as reference, round(low, 6) as central_low, round(low / greatest(ref, 1e-6), 6) as depth, round((hi - lo) / 64, 6) as share, ref >= 0.005 and low / greatest(ref, 1e-6) <= 0.25 and (hi - lo) / 64 >= 0.02 as valid from y"""
+
+
+def _gutters(spark: SparkSession, d: str) -> DataFrame:
+    return _profiles(spark, d).select("vec_id", layout.gutter_evidence(c("a"), F.lit(1280)).alias("g"))
+
+
+@query(_GUTTER)
+def gutter_evidence(spark: SparkSession, d: str) -> DataFrame:
+    g = _gutters(spark, d)
+    return g.select("vec_id", "g.x", "g.run_left", "g.run_right", *(F.round(f"g.{k}", 6).alias(k) for k in ("minimum", "reference", "central_low", "depth", "share")), "g.valid")
+
+
+@query(f"with g as ({_GUTTER}) select vec_id, vec_id % 3 <> 0 as wide, case when vec_id % 3 <> 0 and valid then 3 else 1 end::bigint as probes, case when vec_id % 3 <> 0 and valid then greatest(1, run_left) end as left_end, case when vec_id % 3 <> 0 and valid then least(1279, run_right) end as right_start from g")
+def inspections(spark: SparkSession, d: str) -> DataFrame:
+    """What to look at on a page: all of it, and both sides of a valid gutter where it is wide."""
+    i = layout.inspect(_gutters(spark, d), c("g"), F.lit(1280), F.when(c("vec_id") % 3 == 0, 1000).otherwise(900))
+    return i.select("vec_id", "wide", F.size("probes").cast("long").alias("probes"), F.get("probes", F.lit(1))["x1"].alias("left_end"), F.get("probes", F.lit(2))["x0"].alias("right_start"))
+
+
+_GRAY = "with g as (select vec_id, list_transform(embedding, lambda x: least(255.0, floor(abs(x::double) * (vec_id % 20) * 60))) as g, vec_id % 9 / 2000.0 as ink from embeddings)"
+
+
+@query(f"{_GRAY}, m as (select *, list_median(g) as mid, len(list_filter(g, lambda x: x >= 160)) / len(g) as b160, len(list_filter(g, lambda x: x >= 200)) / len(g) as b200, list_aggregate(g, 'quantile_cont', 0.05) as lo, list_aggregate(g, 'quantile_cont', 0.95) as hi from g) select vec_id, round(mid, 6) as median_luminance, round(b160, 6) as bright_fraction_160, round(b200, 6) as bright_fraction_200, round(lo, 6) as luminance_p05, round(hi, 6) as luminance_p95, ink >= 0.002 and (mid >= 80 or b160 >= 0.18) and hi - lo >= 12 as meaningful_content from m")
+def content_metrics(spark: SparkSession, d: str) -> DataFrame:
+    gray = F.transform("embedding", lambda x: F.least(F.lit(255.0), F.floor(F.abs(x.cast("double")) * (c("vec_id") % 20) * 60).cast("double")))
+    m = table(spark, d, "embeddings").select("vec_id", layout.content_metrics(gray, c("vec_id") % 9 / F.lit(2000.0)).alias("m"))
+    return m.select("vec_id", *(F.round(f"m.{k}", 6).alias(k) for k in ("median_luminance", "bright_fraction_160", "bright_fraction_200", "luminance_p05", "luminance_p95")), "m.meaningful_content")
+
+
+@query(f"""{_CASES}, z as (select {_DECISION} as transform, pos % 17 <> 0 as there, pos % 6 = 0 as ambiguous, mixed, prior_left is not null as applied from j), k as (select count(*) as row_count, count_if(there)::bigint as processed, count_if(not there)::bigint as missing, count_if(there and transform not like 'unchanged%')::bigint as transformed, count_if(there and transform like 'unchanged%')::bigint as unchanged, count_if(there and ambiguous)::bigint as ambiguous, count_if(there and mixed)::bigint as mixed, count_if(there and transform like '%opposed_regions_then_vertical_reading_order%')::bigint as split_opposed, count_if(there and applied)::bigint as prior_applied from z)
+select *, processed + missing = row_count and transformed + unchanged = processed as reconciled from k""")
+def run_counters(spark: SparkSession, d: str) -> DataFrame:
+    pages, e = _pages(spark, d), c("pos")
+    i = pages.join(layout.item_priors(pages).select("item", "prior_left", "prior_right"), "item", "left").withColumns(
+        {"gutter": e % 5 < 3, "wide": e % 5 < 4, "mixed": e % 11 == 0, "full_angle": F.expr("pos div 3 % 4 * 90"), "full_conf": e % 97 / F.lit(97.0)}
+    )
+    flags = F.when(c("mixed"), F.array(F.lit("mixed_orientation_regions"))).otherwise(F.array().cast("array<string>"))
+    return layout.run_counters(layout.decide(i).withColumns({"there": e % 17 != 0, "ambiguous": e % 6 == 0, "flags": flags, "prior_applied": c("prior_left").isNotNull()}))
+
+
+@query()
+def orientations(spark: SparkSession, d: str) -> DataFrame:
+    """The orientation of masks of 48 rows, each entry of a profile a block of ink."""
+    row = lambda i: F.transform("embedding", lambda x: (F.abs(x) > 0.05) & (i % 6 < 3))
+    ink = F.transform(F.sequence(F.lit(0), F.lit(47)), row)
+    found = table(spark, d, "embeddings").select("vec_id", ink.alias("ink")).select("vec_id", layout.orientation("ink", F.lit(64), F.lit(48)).alias("o"))
+    return found.select("vec_id", "o.angle", F.round("o.confidence", 6).alias("confidence"), "o.ambiguous", F.array_join("o.flags", ",").alias("flags"), layout.by_geometry(c("o"))["transform"].alias("transform"))

@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import layout, manifest, progress, scoring, text  # noqa: E402, F401  they register their queries
+from . import checks, evidence, layout, manifest, progress, scoring, text, values  # noqa: E402, F401  they register their queries

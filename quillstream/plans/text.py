@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators.similarity import align_lines, repetition_pairs, tail_guard
+from ..functions.binding import let
+from ..operators.similarity import COUNTERFACTUAL, GROUNDING, align_lines, repetition_pairs, tail_guard, without_tail
 from . import sql
 from .registry import query, table
 
@@ -56,9 +57,10 @@ def visible_text_all_entities(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select doc_id, len({sql.words(sql.normalized('text'))})::bigint as n_words, len({sql.loop_words('text')})::bigint as n_loop_words, len({sql.ascii_words('text')})::bigint as n_ascii_words, array_to_string({sql.ascii_words('text')}, ' ') as ascii_words from documents")
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     x = c("text")
-    return table(spark, d, "documents").select(
+    both = table(spark, d, "documents").select("doc_id", "text", let(t.ascii_words(x), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.array_join(w, " ").alias("all"))).alias("a"))
+    return both.select(
         "doc_id", F.size(t.words(t.normalize_for_scoring(x))).cast("long").alias("n_words"), F.size(t.loop_words(x)).cast("long").alias("n_loop_words"),
-        F.size(t.ascii_words(x)).cast("long").alias("n_ascii_words"), F.array_join(t.ascii_words(x), " ").alias("ascii_words"),
+        c("a.n").alias("n_ascii_words"), c("a.all").alias("ascii_words"),
     )
 
 
@@ -105,13 +107,22 @@ def has_loop(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", t.has_repetitive_loop(c("w")).alias("has_loop"))
 
 
-@query()
+_VERDICT_SQL = f"""{_TAIL_SQL}, v as materialized (select w.doc_id,
+  {sql.suffix_width('ls', 1, 4, 'len(' + sql.words('array_to_string(ls[len(ls) - w + 1 : len(ls)], chr(32))') + ') >= 8')} as by_line,
+  {sql.suffix_width('w.w', 4, 40).replace('lambda w:', 'lambda k:').replace(' * w ', ' * k ').replace('* w]', '* k]')} as by_word from w)
+select v.doc_id, case when by_line is not null then 'repeated_lines' when by_word is not null then 'repeated_words' when len(r.w) >= 64 and d >= 0.3 and u <= 0.6 then 'low_novelty' end as verdict from v join r on r.doc_id = v.doc_id"""
+
+
+@query(_VERDICT_SQL)
 def loop_verdict(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", t.lines(c("text")).alias("ls"), t.loop_words(c("text")).alias("w"))
     return docs.select("doc_id", t.loop_verdict(c("ls"), c("w")).alias("verdict"))
 
 
-@query(f"with l as (select doc_id, unnest(ls) as x, unnest(range(0, len(ls))) as i from (select doc_id, {sql.lines('text')} as ls from documents)), w as materialized (select doc_id, i, {sql.ascii_words('x')} as w from l), p as materialized (select r.doc_id, r.i as rgt, l.i as lft, l.w as a, r.w as b, len(list_intersect(l.w, r.w)) as shared from w l join w r on l.doc_id = r.doc_id and l.i < r.i and l.i >= r.i - 10 where len(l.w) >= 4 and len(r.w) >= 4), s as (select *, case when len(list_intersect({sql.ngrams('a', 4)}, {sql.ngrams('b', 4)})) > 0 then 1.0 else 0.82 * shared / least(len(list_distinct(a)), len(list_distinct(b))) end as sim from p where shared >= 3) select doc_id, rgt::bigint as right_line, arg_max(lft, (sim, -lft))::bigint as left_line, round(max(sim)::double, 6) as similarity from s where sim >= 0.68 group by doc_id, rgt")
+_PAIRS_SQL = f"with l as (select doc_id, unnest(ls) as x, unnest(range(0, len(ls))) as i from (select doc_id, {sql.lines('text')} as ls from documents)), w as materialized (select doc_id, i, {sql.ascii_words('x')} as w from l), p as materialized (select r.doc_id, r.i as rgt, l.i as lft, l.w as a, r.w as b, len(list_intersect(l.w, r.w)) as shared from w l join w r on l.doc_id = r.doc_id and l.i < r.i and l.i >= r.i - 10 where len(l.w) >= 4 and len(r.w) >= 4), s as (select *, case when len(list_intersect({sql.ngrams('a', 4)}, {sql.ngrams('b', 4)})) > 0 then 1.0 else 0.82 * shared / least(len(list_distinct(a)), len(list_distinct(b))) end as sim from p where shared >= 3), b as materialized (select doc_id, rgt::bigint as right_line, arg_max(lft, (sim, -lft))::bigint as left_line, round(max(sim)::double, 6) as similarity from s where sim >= 0.68 group by doc_id, rgt)"
+
+
+@query(f"{_PAIRS_SQL} select * from b")
 def repetition_pairs_native(spark: SparkSession, d: str) -> DataFrame:
     """The best earlier line within ten lines, by containment and shared runs of four words."""
     return repetition_pairs(_lines(spark, d), exact=False)
@@ -134,11 +145,45 @@ def line_alignment(spark: SparkSession, d: str) -> DataFrame:
     return align_lines(turns.select("conv_id", "turn", t.lines(c("before")).alias("page"), t.lines(c("text")).alias("visual")), ["conv_id", "turn"])
 
 
-@query()
+def _guard_sql(ratio: float, floor: float | None, names: tuple[str, ...]) -> str:
+    late, few, weak, rests, unsafe, cut = names
+    most = f"mid * {ratio}" if floor is None else f"least({floor}, mid * {ratio})"
+    floor_gate = "" if floor is None else f"when mid < {floor} then '{weak}'"
+    return f"""{_PAIRS_SQL}, gained as materialized (select doc_id, list(gain order by i) as g from (select doc_id, i, case when length(x) % 13 = 0 then null else (length(x) * 7919 % 100) / 1000.0 end::double as gain from l) group by doc_id),
+firsts as (select n.doc_id, g, coalesce(k, 0) as k, first from gained n left join (select doc_id, count(*) as k, min(left_line) as first from b group by doc_id) p on p.doc_id = n.doc_id),
+parted as (select *, list_filter(g[greatest(first - 10, 0) + 1 : first], lambda x: x is not null) as prior, list_filter(g[first + 1 : len(g)], lambda x: x is not null) as tail from firsts),
+levels as (select *, list_median(prior) as mid, list_median(tail) as finish from parted),
+mosts as (select *, {most} as most from levels),
+cuts as (select *, first + 1 - list_min(list_filter(range(1, 6), lambda j: j > 4 or first - j <= 1 or coalesce(g[greatest(first - j, 0) + 1] > most, true))) as cutoff from mosts),
+decided as (select doc_id, len(g)::bigint as line_count, cutoff, case when k < 2 then 'insufficient_repetition_evidence' when first < 4 then '{late}' when least(len(prior), len(tail)) < 3 then '{few}' {floor_gate} when finish > most then '{rests}' when cutoff < greatest(3, floor(0.45 * len(g))) or len(g) - cutoff < 5 then '{unsafe}' else '{cut}' end as reason from cuts)
+select doc_id, line_count, reason, case when reason = '{cut}' then cutoff end::bigint as cutoff from decided"""
+
+
+def _gained(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with a value each, made of their lengths; some are unknown."""
+    size = F.length("x")
+    return _lines(spark, d).withColumn("gain", F.when(size % 13 != 0, (size * 7919 % 100) / F.lit(1000.0)))
+
+
+@query(_guard_sql(0.40, 0.02, COUNTERFACTUAL))
 def guarded_tails(spark: SparkSession, d: str) -> DataFrame:
-    """The tail guard's decision for each document, with a gain per line made of its words."""
-    lines = _lines(spark, d).withColumn("gain", F.pmod(F.xxhash64("x"), F.lit(100)) / 1000.0)
-    return tail_guard(lines)
+    """The tail guard's decision for each document, from the native pairs."""
+    return tail_guard(_gained(spark, d), exact=False)
+
+
+@query(_guard_sql(0.62, None, GROUNDING))
+def grounded_tails(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the rules for attention values."""
+    return tail_guard(_gained(spark, d), exact=False, grounding=True)
+
+
+@query(f"with l as (select doc_id, {sql.lines('text')} as ls from documents), k as (select *, len(ls) // 2 as cutoff from l) select doc_id, sha256('<Page>' || array_to_string(list_transform(ls[1:cutoff], lambda s: '<Line n=\"1\">' || replace(s, '<', '') || '</Line>'), ' ') || case when cutoff = 0 then '' when cutoff < len(ls) then ' ' else '' end || '</Page>') as without_tail from k")
+def tails_removed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as tagged lines, without the second half of their lines."""
+    x = table(spark, d, "documents").select("doc_id", t.lines(c("text")).alias("ls"))
+    tagged = F.array_join(F.transform("ls", lambda s: F.concat(F.lit('<Line n="1">'), F.replace(s, F.lit("<"), F.lit("")), F.lit("</Line>"))), " ")
+    x = x.select("doc_id", F.concat(F.lit("<Page>"), tagged, F.lit("</Page>")).alias("raw"), F.floor(F.size("ls") / 2).cast("int").alias("cutoff"))
+    return x.select("doc_id", F.sha2(without_tail(c("raw"), c("cutoff")), 256).alias("without_tail"))
 
 
 @query(f"with a as materialized (select doc_id, {sql.ascii_words('text')} as w from documents), b as materialized (select item_id, {sql.ascii_words('text')} as w from benchmark), ga as (select distinct doc_id, unnest({sql.ngrams('w', 4)}) as g from a), gb as (select distinct item_id, unnest({sql.ngrams('w', 4)}) as g from b), p as (select distinct doc_id, item_id from ga join gb using (g)) select p.doc_id, p.item_id, len(list_intersect(list_distinct(a.w), list_distinct(b.w)))::bigint as shared_words, round((len(list_intersect(list_distinct(a.w), list_distinct(b.w))) / least(len(list_distinct(a.w)), len(list_distinct(b.w))))::double, 6) as containment from p join a on a.doc_id = p.doc_id join b on b.item_id = p.item_id")

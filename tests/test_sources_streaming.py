@@ -5,7 +5,7 @@ import pytest
 from quillstream.operators import recognizer
 from quillstream.sources import jsonl
 from quillstream.sources.tail import Replaced, TailReader, TailSource
-from quillstream.streaming import merging
+from quillstream.streaming import merging, tasks
 
 
 def test_scans(spark, tmp_path):
@@ -73,9 +73,9 @@ def run(spark, tmp_path, name, rows, schema, f, mode="update"):
 
 def test_merge_stream(spark, tmp_path):
     got = run(spark, tmp_path, "m", ROWS, SCHEMA, merging.merge_stream)
-    assert [tuple(r) for r in got] == [("p", "one", 2, True)]
+    assert [tuple(r) for r in got] == [("p", "one", 2, True, False)]
     got = run(spark, tmp_path, "m", [("q", 1, 2, "y", True, False)], SCHEMA, merging.merge_stream)
-    assert [tuple(r) for r in got] == [("q", "x\ny", 2, False)]
+    assert [tuple(r) for r in got] == [("q", "x\ny", 2, False, False)]
 
 
 def test_loop_stop_latches(spark, tmp_path):
@@ -102,3 +102,96 @@ def test_loop_stop_has_all_detectors(spark, tmp_path):
     got = run(spark, tmp_path, "l", rows, "key string, seq long, chunk string", merging.stop_loops)
     assert {r.key: r.verdict for r in got} == {"lines": "repeated_lines", "marked": "repeated_words", "within": "repeated_words", "clean": None, "novelty": "low_novelty", "split": "repeated_words"}
     assert merging.first_loop("".join(line(i, long[:10]) for i in range(3))) == "repeated_lines"
+
+
+def test_tail_is_cut_into_spans_and_flushed(tmp_path):
+    p = tmp_path / "t.jsonl"
+    lines = [json.dumps({"n": i, "x": "y" * (i % 40)}) for i in range(200)]
+    p.write_text("\n".join(lines))
+    r = TailReader({"path": str(p), "span": "500"})
+    zero, end = r.initialOffset(), r.latestOffset()
+    spans = r.partitions(zero, end)
+    got = [v for s in spans for _, v in r.read(s)]
+    assert len(spans) > 5 and got == lines[:-1]
+    last = TailReader({"path": str(p), "final": "true"})
+    assert [v for s in last.partitions(end, last.latestOffset()) for _, v in last.read(s)] == lines[-1:]
+    copy = p.read_bytes()
+    p.rename(tmp_path / "old")
+    p.write_bytes(copy)
+    with pytest.raises(Replaced):
+        r.latestOffset()
+
+
+def test_pages_are_taken_back(spark, tmp_path):
+    f = lambda df: merging.merge_stream(df, revise=True)
+    assert [tuple(r) for r in run(spark, tmp_path, "r", [("p", 0, 1, "x", True, False)], SCHEMA, f)] == [("p", "x", 1, False, False)]
+    assert [tuple(r) for r in run(spark, tmp_path, "r", [("p", 0, 1, " ", True, False)], SCHEMA, f)] == [("p", None, 1, None, True)]
+
+
+def test_wrong_predictions_end_the_stream(spark, tmp_path):
+    for k, rows in enumerate(([("p", 0, 2, "x", True, False), ("p", 0, 2, "y", True, False)], [("p", 0, 2, "x", True, False), ("p", 1, 3, "y", True, False)], [("p", 2, 2, "x", True, False)])):
+        with pytest.raises(Exception, match="page p"):
+            run(spark, tmp_path / str(k), "w", rows, SCHEMA, merging.merge_stream)
+    with pytest.raises(Exception, match="mixed configs"):
+        run(spark, tmp_path / "c", "w", [("p", 0, 2, "x", True, False, "a"), ("p", 1, 2, "x", True, False, "b")], SCHEMA + ", config string", merging.merge_stream)
+
+
+def test_watch_keeps_whole_versions(spark, tmp_path):
+    put = lambda rows: spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    put([("p", 0, 1, "one", True, False), ("q", 0, 2, "x", True, False)])
+    stream = lambda: merging.merge_stream(spark.readStream.schema(SCHEMA).json(str(tmp_path / "in")))
+    args = (str(tmp_path / "snap"), str(tmp_path / "check"), str(tmp_path / "ready.json"))
+    assert merging.watch(stream(), *args) == 1
+    put([("q", 1, 2, "y", True, False)])
+    (tmp_path / "done").write_text("")
+    assert merging.watch(stream(), *args, done=str(tmp_path / "done"), expected=2) == 2
+    ready = json.loads((tmp_path / "ready.json").read_text())
+    assert {(r.parent, r.prediction) for r in spark.read.parquet(ready["version"]).collect()} == {("p", "one"), ("q", "x\ny")}
+    with pytest.raises(RuntimeError, match="1 pages"):
+        merging.watch(stream(), *args, done=str(tmp_path / "done"), expected=3)
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b", "one \n\n", "<x/>"), ("c", None, "y")], "id string, text string, xml string")
+    assert jsonl.write_texts(rows, str(tmp_path / "t"), "id", "text", "xml", suffixes=(".txt", ".xml")) == 4
+    assert {p.name: p.read_text() for p in (tmp_path / "t").iterdir()} == {"a_b.txt": "one \n\n".rstrip(" ") + "\n", "a_b.xml": "<x/>\n", "c.txt": "\n", "c.xml": "y\n"}
+    jsonl.write_json({"a": 1, "é": None}, str(tmp_path / "s" / "x.json"))
+    jsonl.write_json({"a": 2}, str(tmp_path / "s" / "x.json"))
+    assert json.loads((tmp_path / "s" / "x.json").read_text()) == {"a": 2} and len(list((tmp_path / "s").iterdir())) == 1
+    assert jsonl.read_object(spark, str(tmp_path / "s" / "x.json"), "a int") == {"a": 2}
+    assert jsonl.read_object(spark, str(tmp_path / "none"), "a int") is None
+    jsonl.write_lines(rows, str(tmp_path / "l"))
+    jsonl.append_lines(rows, str(tmp_path / "l"))
+    assert jsonl.scan_lenient(spark, str(tmp_path / "l"), "id string").count() == 4
+    assert jsonl.scan_strict(spark, str(tmp_path / "none"), "a int").count() == 0
+    with pytest.raises(ValueError, match="not an image"):
+        jsonl.scan_images(spark, [str(tmp_path / "s" / "x.json")])
+
+
+def test_copies_are_verified_and_pages_paired(spark, tmp_path):
+    for folder in ("i", "t"):
+        (tmp_path / folder).mkdir()
+    for n in ("p1", "p2"):
+        (tmp_path / "i" / f"{n}.jpg").write_bytes(n.encode())
+    (tmp_path / "t" / "p1.txt").write_text("first page")
+    pages = jsonl.page_files(spark, str(tmp_path / "t"), str(tmp_path / "i")).collect()
+    assert [(r.id, r.target) for r in pages] == [("p1", "first page")]
+    sums = jsonl.checksums(spark, str(tmp_path / "i")).collect()
+    rows = [(r.path, str(tmp_path / "out" / f"{r.sha256}.jpg"), r.sha256) for r in sums]
+    copied = lambda rows: {r.target: r.ok for r in jsonl.copy_verified(spark.createDataFrame(rows, "s string, t string, h string"), "s", "t", "h").collect()}
+    assert copied(rows) == {t: True for _, t, _ in rows} and copied(rows) == {t: True for _, t, _ in rows}
+    assert copied([(rows[0][0], str(tmp_path / "out" / "bad.jpg"), "0")]) == {str(tmp_path / "out" / "bad.jpg"): False}
+
+
+def test_task_reports(tmp_path):
+    now = [100.0]
+    with tasks.Task("Read pages", total=10, task_id="a b", folder=str(tmp_path), clock=lambda: now[0]) as task:
+        now[0] = 110.0
+        task.update(4, "page 4", {"cer": 0.2})
+        state = json.loads((tmp_path / "a-b.json").read_text())
+        assert (state["percent"], state["eta_seconds"], state["status"], state["metrics"]) == (40.0, 15.0, "running", {"cer": 0.2})
+    assert json.loads((tmp_path / "a-b.json").read_text())["status"] == "complete"
+    with pytest.raises(KeyError), tasks.Task("x", folder=str(tmp_path), task_id="x"):
+        raise KeyError("gone")
+    state = json.loads((tmp_path / "x.json").read_text())
+    assert state["status"] == "failed" and "gone" in state["message"] and tasks.alive(state["pid"])
