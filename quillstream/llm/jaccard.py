@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, of_rows, scratch, slices, table, texts, unkeyed
+from .common import id_bits, numbered, of_rows, scope, scratch, slices, table, texts, unkeyed
 from .components import components
 from .wordhash import Hasher, mix, words
 
@@ -18,8 +19,12 @@ _U = np.uint64
 SKETCH_BITS = 22
 #: Cells of a document's histogram of shingles, for the suffix filter.
 CELLS = 64
-#: A token that so many documents have is dealt with in parts.
-HOT = 1 << 14
+#: A token that so many documents have is dealt with in parts of about as many.
+HOT = 1 << 9
+#: The same where a part meets all others of its token.
+PAIRED = 1 << 12
+#: Partial counts that one task adds up.
+FAN_IN = 32
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, hasher: Hasher, n: int) -> list[np.ndarray]:
@@ -41,37 +46,41 @@ def shingles(data: np.ndarray, offsets: np.ndarray, hasher: Hasher, n: int) -> l
 def sketch(docs: DataFrame, n: int) -> np.ndarray:
     """For each counter the number of documents with such a shingle, over all documents.
 
-    32 MB of counts whatever the corpus (16 MB when broadcast); they are summed on the executors block by block, in two
-    steps so that no task meets the blocks of all partitions.
+    32 MB of counts whatever the corpus (16 MB when broadcast). They are summed on the executors
+    block by block, by a tree in which a task meets FAN_IN partial blocks of half a megabyte at most.
     """
     size, blocks = 1 << SKETCH_BITS, 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, total, part = Hasher(6, lower=True), np.zeros(size, np.int64), 0
+        hasher, total = Hasher(6, lower=True), np.zeros(size, np.int64)
         for b in slices(batches, "text"):
             for s in shingles(*texts(b), hasher, n):
                 at = (s >> _U(64 - SKETCH_BITS)).astype(np.int64)
                 if len(at):
                     np.add.at(total, at, 1)
-                    part ^= int(at[0])
-        raw = total.reshape(blocks, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array(np.full(blocks, part % 64, np.int32)), pa.array([pa.compress(r.tobytes(), "zstd", asbytes=True) for r in raw], pa.binary())], names=["block", "part", "counts"])
+        raw, part = total.reshape(blocks, -1), TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array(np.full(blocks, part, np.int32)), pa.array([pa.compress(r.tobytes(), "zstd", asbytes=True) for r in raw], pa.binary())], names=["block", "part", "counts"])
 
     def unpack(x: bytes) -> np.ndarray:
         return np.frombuffer(pa.decompress(x, size // blocks * 8, "zstd", asbytes=True), np.int64)
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(size // blocks, np.int64)
-        for x in t.column("counts").to_pylist():
-            total += unpack(x)
-        return pa.table({"block": t.column("block")[:1], "part": pa.array([0], pa.int32()), "counts": pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())})
+        for x in t.column("counts"):
+            total += unpack(x.as_py())
+        return pa.table({"block": t.column("block")[:1], "part": t.column("part")[:1], "counts": pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())})
 
     schema = "block int, part int, counts binary"
     rows = docs.select("text").mapInArrow(count, schema)
-    rows = rows.groupBy("block", "part").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
+    partials = docs.rdd.getNumPartitions()
+    while True:
+        partials = -(-partials // FAN_IN)
+        rows = rows.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("block", "part").applyInArrow(add, schema)
+        if partials <= 1:
+            break
     out = np.zeros((blocks, size // blocks), np.int64)
     for r in rows.collect():
-        out[r.block] = unpack(bytes(r.counts))
+        out[r.block] += unpack(bytes(r.counts))
     return out.ravel()
 
 
@@ -117,17 +126,30 @@ def chain(entries: DataFrame, order: list[Column], t: int) -> DataFrame:
     many documents are dealt with in salted parts whose first documents are chained in turn, so a
     group that holds a third of all rows isn't one task.
     """
-    parts = (1 + F.shiftright(F.col("token"), 40) / F.lit(HOT)).cast("int")
-    e = entries.withColumn("salt", F.pmod(F.xxhash64("id"), parts))
+    e = entries.withColumn("salt", salt(F.col("id"), HOT))
     w = Window.partitionBy("token", "salt").orderBy(*order)
     prev = e.select("token", "salt", "id", "n", "pos", F.lag(F.struct("id", "n", "pos")).over(w).alias("p"))
-    heads = prev.where("p is null").where(F.shiftright(F.col("token"), 40) >= HOT)
+    heads = prev.where("p is null").where(parts(HOT) > 1)
     linked = heads.select("token", "id", "n", "pos", F.lag(F.struct("id", "n", "pos")).over(Window.partitionBy("token").orderBy(*order)).alias("p"))
     rows = prev.drop("salt").unionByName(linked).where("p is not null").where("p.id <> id")
     ok = _filters(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos"), t)
     return rows.select("token", F.least("id", "p.id").alias("x"), F.greatest("id", "p.id").alias("y"), ok.alias("ok"))
 
 
+def parts(size: int) -> Column:
+    """Into how many parts of about ``size`` entries a token's are dealt; its top bits count its documents."""
+    return (1 + F.floor(F.shiftright(F.col("token"), 40) / size)).cast("int")
+
+
+def salt(doc: Column, size: int) -> Column:
+    """The part of its token that a document's entry belongs to."""
+    return F.pmod(F.xxhash64(doc), parts(size))
+
+
+def every_salt(size: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), parts(size) - 1))
+
+
 def suffix_filter(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     """Pairs whose histograms differ by no more than the sets may: the sum of differences of counts
     in any division of the shingles is a lower bound of what only one of the two has."""
@@ -148,34 +170,6 @@ def suffix_filter(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     return j.select("x", "y", "hx", "nx", "hy", "ny").mapInArrow(run, "x long, y long")
 
 
-def _needed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Documents that a pair names, and a few more: a bit map of fixed size (1 MB) spares the others
-    the way through the shuffle; the joins that follow are exact."""
-    bits = 1 << 23
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(bits // 8, np.uint8)
-        for b in batches:
-            at = np.unique(mix(np.asarray(b.column(0)).view(_U)) % _U(bits)).astype(np.int64)
-            np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        word = held.view(np.int64)
-        at = np.flatnonzero(word)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(word[at])], names=["word", "bits"])
-
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("id"))
-    rows = ids.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    held = np.zeros(bits // 64, np.int64)
-    held[np.asarray(rows.column("word"))] = np.asarray(rows.column("bits"))
-    b = docs.sparkSession.sparkContext.broadcast(held.view(np.uint8))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            at = (mix(np.asarray(x.column(0)).view(_U)) % _U(bits)).astype(np.int64)
-            yield x.filter(pa.array((b.value[at >> 3] >> (at & 7)) & 1 == 1))
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string")
-
-
 def verify(pairs: DataFrame, docs: DataFrame, n: int, t: int) -> DataFrame:
     """The pairs (x, y), each once, whose sets are similar, by their whole texts."""
 
@@ -187,7 +181,7 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, t: int) -> DataFrame:
             union = np.asarray([len(a) + len(b) for a, b in zip(sx, sy, strict=True)]) - both
             yield part.select(["x", "y"]).filter(pa.array((100 * both >= t * union) & (both > 0)))
 
-    d = _needed(docs, pairs)
+    d = docs.where(id_bits(pairs, "x", "y")(F.col("doc_id")))
     j = pairs.join(d.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x")
     j = j.join(d.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y")
     return j.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long").distinct()
@@ -206,51 +200,60 @@ def join(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFrame:
     and are their own component; a null id counts as the smallest; rows with one id (or none) and
     different texts are documents of their own; repeated rows are answered alike; an empty table gives no rows.
     """
-    docs, names = numbered(docs)
-    out = linked(docs, n, threshold)
-    if names is None:
-        return unkeyed(out, "component_id")
-    out = out.withColumnRenamed("doc_id", "key").join(names.select("key", "doc_id"), "key")
-    of = names.select(F.col("key").alias("component_id"), F.col("doc_id").alias("_of"))
-    return out.join(of, "component_id").select("doc_id", "n_shingles", F.col("_of").alias("component_id"))
+    with scope():
+        d, names = numbered(docs)
+        out = linked(d, n, threshold)
+        if names is None:
+            out = unkeyed(out, "component_id")
+        else:
+            name = names.groupBy(F.col("key").alias("component_id")).agg(F.first("doc_id").alias("of"))
+            out = out.withColumnRenamed("doc_id", "key").join(name, "component_id").select("key", "n_shingles", F.col("of").alias("component_id"))
+            out = names.select("key", "doc_id").join(out, "key").drop("key")
+        return scratch(out.select("doc_id", "n_shingles", "component_id"), keep=True)
 
 
 def linked(docs: DataFrame, n: int, threshold: int) -> DataFrame:
-    """join() for documents whose ids are numbers of their own (see common.numbered)."""
+    """join() for documents whose ids are numbers of their own (see common.numbered); call it in a scope()."""
     sig = scratch(signatures(docs, sketch(docs, n), n, threshold))
     classes = scratch(sig.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")))
     sets = sig.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     entries = sets.select(F.col("doc_id").alias("id"), "n", F.posexplode("tokens").alias("pos", "token"))
-    order = [F.col("n"), F.col("id")]
-    near = scratch(chain(entries, order, threshold))
+    near = scratch(chain(entries, [F.col("n"), F.col("id")], threshold))
     pairs = scratch(near.groupBy("x", "y").agg(F.count("*").alias("shared"), F.bool_or("ok").alias("ok")))
+
+    def grown(comp: DataFrame | None, found: DataFrame) -> DataFrame:
+        """The components with the links among the pairs found; what is settled goes on as a star per component."""
+        links = scratch(suffix_filter(found, sets, threshold))
+        if comp is not None and links.isEmpty():
+            return comp
+        links = verify(links, docs, n, threshold)
+        return components(links if comp is None else comp.select(F.col("id").alias("x"), F.col("comp").alias("y")).unionByName(links))
+
     # First the neighbour with most tokens in common, one pair per document; then what that left apart.
-    likely = pairs.where("ok").groupBy("y").agg(F.max_by("x", F.struct("shared", (-F.col("x")).alias("m"))).alias("x"))
-    links = scratch(verify(scratch(suffix_filter(likely, sets, threshold)), docs, n, threshold))
-    comp = components(links)
+    likely = scratch(pairs.where("ok").groupBy("y").agg(F.max_by("x", F.struct("shared", (-F.col("x")).alias("m"))).alias("x")))
+    comp = grown(None, likely)
     apart = _named(_named(pairs, comp, "x"), comp, "y").where("cx <> cy")
-    further = apart.where("ok").join(likely, ["x", "y"], "left_anti")
-    links = links.unionByName(scratch(verify(scratch(suffix_filter(further, sets, threshold)), docs, n, threshold)))
-    comp = components(links)
+    comp = grown(comp, apart.where("ok").join(likely, ["x", "y"], "left_anti"))
     some = scratch(_loose(near, pairs, entries, comp))
     # A hub that resembles many documents which hardly resemble one another: of each such token the
     # document with most of these tokens in its prefix is tried against the others.
-    hub = Window.partitionBy("token")
     fame = some.groupBy("x").agg(F.count("*").alias("fame"))
-    star = some.join(fame, "x").withColumn("h", F.max(F.struct("fame", (-F.col("x")).alias("m"), "x", "n", "pos", "cx")).over(hub)).where("cx <> h.cx")
+    hub = some.join(fame, "x").groupBy("token").agg(F.max(F.struct("fame", (-F.col("x")).alias("m"), "x", "n", "pos", "cx")).alias("h"))
+    hub = hub.select("token", "h", every_salt(HOT).alias("salt"))
+    star = some.withColumn("salt", salt(F.col("x"), HOT)).join(hub, ["token", "salt"]).where("cx <> h.cx")
     star = star.where(_filters(F.col("n"), F.col("h.n"), F.col("pos"), F.col("h.pos"), threshold)).select(F.least("x", "h.x").alias("x"), F.greatest("x", "h.x").alias("y")).distinct()
     star = scratch(star.join(pairs.where("ok"), ["x", "y"], "left_anti"))
-    links = links.unionByName(scratch(verify(scratch(suffix_filter(star, sets, threshold)), docs, n, threshold)))
-    comp = components(links)
+    comp = grown(comp, star)
     tested = pairs.where("ok").select("x", "y").unionByName(star)
     some = scratch(_loose(near, pairs, some.withColumnRenamed("x", "id"), comp))
-    a, b = some.select("token", "x", "n", "pos", "cx"), some.select("token", F.col("x").alias("y"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("cx").alias("cy"))
+    # Each pair of a token's parts meets in a place of its own.
+    mine = salt(F.col("x"), PAIRED)
+    a = some.select("token", "x", "n", "pos", "cx", mine.alias("s"), every_salt(PAIRED).alias("r"))
+    b = some.select("token", F.col("x").alias("y"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("cx").alias("cy"), mine.alias("r"), every_salt(PAIRED).alias("s"))
     # Of two components' documents the longer ones look for the shorter ones.
-    cross = a.join(b, "token").where("cx <> cy").where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("x") < F.col("y"))))
+    cross = a.join(b, ["token", "s", "r"]).where("cx <> cy").where((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("x") < F.col("y"))))
     cross = cross.where(_filters(F.col("n"), F.col("m"), F.col("pos"), F.col("q"), threshold)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    more = scratch(verify(scratch(suffix_filter(cross.join(tested, ["x", "y"], "left_anti"), sets, threshold)), docs, n, threshold))
-    links = links.unionByName(more)
-    comp = components(links)
+    comp = grown(comp, cross.join(tested, ["x", "y"], "left_anti"))
     member = sig.select("doc_id", "n", "a", "b").join(classes, ["n", "a", "b"], "left")
     member = member.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     # A class stands under its smallest id, so the smallest representative is the smallest document.
@@ -266,18 +269,22 @@ def _named(rows: DataFrame, comp: DataFrame, col: str) -> DataFrame:
 def _loose(near: DataFrame, pairs: DataFrame, entries: DataFrame, comp: DataFrame) -> DataFrame:
     """Entries (token, x, n, pos, cx) of tokens with neighbours that aren't connected yet."""
     apart = _named(_named(pairs, comp, "x"), comp, "y").where("cx <> cy")
-    tokens = near.join(apart, ["x", "y"], "left_semi").select("token").distinct()
-    return _named(entries.select("token", F.col("id").alias("x"), "n", "pos").join(tokens, "token", "left_semi"), comp, "x")
+    tokens = near.join(apart, ["x", "y"], "left_semi").select("token").distinct().select("token", every_salt(HOT).alias("salt"))
+    e = entries.select("token", F.col("id").alias("x"), "n", "pos", salt(F.col("id"), HOT).alias("salt"))
+    return _named(e.join(tokens, ["token", "salt"], "left_semi").drop("salt"), comp, "x")
 
 
 def deduplicate(docs: DataFrame, n: int = 4, threshold: int = 85) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id, once.
+    """``docs`` with one document of each group: the one with the smallest id, once; all columns stay,
+    whatever their names.
 
-    Of rows with one id and different texts each is a document; of repeated ones one stays.
+    Of rows with one id and different texts each is a document; of repeated ones one stays. Null
+    texts and texts without words are like no other and stay; an empty table gives no rows.
     """
-    rows, names = numbered(docs)
-    keep = linked(rows, n, threshold).where("doc_id = component_id").select(F.col("doc_id").alias("key"))
-    return of_rows(docs, keep, names)
+    with scope():
+        rows, names = numbered(docs)
+        dropped = scratch(linked(rows, n, threshold).where("doc_id <> component_id").select(F.col("doc_id").alias("key")), keep=True)
+    return of_rows(docs, dropped, names)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

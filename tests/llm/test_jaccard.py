@@ -62,6 +62,8 @@ def test_matches_brute_force(spark):
 
 def test_large_near_copy_group_and_salted_tokens(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT", 16)
+    monkeypatch.setattr(jaccard, "PAIRED", 32)
+    monkeypatch.setattr(jaccard, "FAN_IN", 2)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(90)]
     rows = []
@@ -92,8 +94,10 @@ def test_defined_cases(spark, docs, rows, none):
 
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(500, 400), (400, 450), (7, 7)]
-    got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "x long, y long")).collect()}
-    assert {i for i, c in got.items() if c == 0} >= set(range(1, 201)) and got[500] == got[450] == 400
+    for small in (0, 1000):
+        got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "x long, y long"), small=small).collect()}
+        assert {i for i, c in got.items() if c == 0} >= set(range(1, 201)) and got[500] == got[450] == 400
+    assert components(spark.createDataFrame([], "x long, y long")).count() == 0
 
 
 def test_rows_that_share_an_id_are_documents_of_their_own(spark):
