@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -17,6 +18,10 @@ from .common import scratch, slices, table, texts
 from .wordhash import Hasher
 
 
+#: Runs that the faster encoder's pattern, which recurses, can't take.
+_LONG = re.compile(r"\s{512}|\S{65536}")
+
+
 class Encoder:
     """Token ids of a byte-level BPE file, for many texts at once.
 
@@ -66,7 +71,7 @@ class Encoder:
         return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special) or _LONG.search(text):
             ids = self.tok.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
@@ -95,7 +100,7 @@ class Encoder:
             if len(keys) > self.most:  # a single long text with more pieces than the table has room for
                 self.slots, self.most = 1 << (2 * len(keys) - 1).bit_length(), len(keys)
                 self._clear()
-        bad = np.asarray([not t or t[-1].isspace() or (t[0].isspace() and not f) for t, f in zip(texts, first, strict=True)])
+        bad = np.asarray([not t or t[-1].isspace() or (t[0].isspace() and not f) or bool(_LONG.search(t)) for t, f in zip(texts, first, strict=True)])
         spaced = np.flatnonzero(~bad & ~first)
         ids = [np.zeros(0, np.uint32)]
         at, count = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int32)
