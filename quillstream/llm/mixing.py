@@ -46,9 +46,9 @@ def targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFram
     total, cap = s.agg(F.sum("source_size")).first()[0] or 0, F.lit(most) * F.col("source_size")
     left, weight, capped = total, None, F.lit(False)
     while True:
-        row = s.where(~capped).agg(F.sum("w"), F.count("*")).first()
-        got = s.where(capped).agg(F.sum("source_size")).first()[0] or 0
-        new_left = total - most * got
+        # One job a round: the weights that still share, how many they are, and what the others took.
+        row = s.agg(F.sum(F.when(~capped, F.col("w"))), F.count_if(~capped), F.coalesce(F.sum(F.when(capped, F.col("source_size"))), F.lit(0))).first()
+        new_left = total - most * row[2]
         if weight is not None and (new_left, row[0]) == (left, weight) or not row[1]:
             break
         left, weight = new_left, row[0]
@@ -59,39 +59,34 @@ def targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFram
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _copies.
+    """row (a struct of all columns of ``docs``), doc_id, size, source_size, target and copies of each row.
 
     A document is taken floor(rate) times, and once more if the fraction exceeds a number in [0, 1)
     made of the MD5 of seed and doc_id; reruns agree. Defined cases: a null text has size 0; a null
     source is a source of its own, the last; an empty table gives an empty one; rows that repeat a
-    doc_id are decided alike; a source whose size is 0 has target 0. Sizes are summed per source
-    before the shuffle, and only one row per source is joined back, so a hot source costs nothing.
+    doc_id are decided alike; a source whose size is 0 has target 0; columns may have any name, as
+    they stay within the struct. Sizes are summed per source before the shuffle, and only one row
+    per source is joined back, so a hot source costs nothing.
     """
-    d = docs.withColumn("_size", sizes(docs))
-    per = d.groupBy("source").agg(F.sum("_size").alias("source_size"))
-    t = targets(scratch(per), weights, most).select(
-        F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
-    )
+    d = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", sizes(docs).alias("size"))
+    per = docs.select("source", sizes(docs).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = scratch(per)
+    t = targets(per, weights, most).withColumnRenamed("source", "of")
     # One row per source: joined by AQE as a broadcast where it is small, else by a sort-merge join
     # whose hot keys AQE splits.
-    d = d.join(t, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    rate = F.least(F.lit(float(most)), F.coalesce(F.try_divide("_target", F.col("_source_size").cast("double")), F.lit(0.0)))
+    d = d.join(t, F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "source")
+    rate = F.least(F.lit(float(most)), F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0)))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     u = F.conv(F.substring(key, 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
-    return d.withColumn("_copies", (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int"))
+    return d.withColumn("copies", (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
-    """The mixed corpus: each row as often as the mix takes it, with the columns of ``docs``."""
-    return plan(docs, weights, most, seed).where("_copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*docs.columns)
+    """The mixed corpus: each row as often as the mix takes it, with the columns of ``docs``; see plan()."""
+    taken = plan(docs, weights, most, seed).where("copies > 0")
+    return taken.select("row", F.explode(F.expr("sequence(1, copies)")).alias("copy")).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return p.select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).alias("taken"),
-    )
+    return p.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

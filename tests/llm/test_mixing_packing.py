@@ -40,12 +40,13 @@ def test_mixing_defined_cases(spark, docs, rows, none, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.op7_mixing(spark, str(tmp_path)).collect()))
     mixed = mixing.mix_sources(docs)
     assert mixed.columns == docs.columns
+    assert {tuple(r) for r in mixed.collect()} <= {tuple(r) for r in rows}
     assert mixing.mix_sources(none).count() == 0
 
 
 def test_mixing_comes_near_targets(spark):
     d = spark.createDataFrame([(i, "w " * (20 + i % 50), f"s{i % 7 if i % 3 else 0}") for i in range(3000)], "doc_id long, text string, source string")
-    got = mixing.plan(d).groupBy("source").agg(mixing.F.first("_target").alias("t"), mixing.F.sum(mixing.F.col("_size") * mixing.F.col("_copies")).alias("n")).collect()
+    got = mixing.plan(d).groupBy("row.source").agg(mixing.F.first("target").alias("t"), mixing.F.sum(mixing.F.col("size") * mixing.F.col("copies")).alias("n")).collect()
     assert all(abs(r.n / r.t - 1) < 0.15 for r in got)
 
 
@@ -117,3 +118,31 @@ def test_local_search_ends_where_no_exchange_helps():
                     for out, into in product(combinations(a, k), combinations(b, m)):
                         d = sum(into) - sum(out)
                         assert not (0 < d <= limit - sum(a) and d > sum(b) - sum(a)), (a, b, out, into)
+
+
+def test_mixing_leaves_columns_of_any_name_alone(spark):
+    names = ["_size", "_copies", "_copy", "_target", "_source_size", "_s", "size", "copies", "target", "row", "of", "w", "i", "part"]
+    rows = [(i, f"w {'x ' * (i % 9)}", f"s{i % 3}", *(f"{n}{i}" for n in names)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    mixed = mixing.mix_sources(docs)
+    assert mixed.schema == docs.schema
+    plain = mixing.mix_sources(docs.select("doc_id", "text", "source"))
+    by = {r[0]: r for r in rows}
+    assert sorted(map(tuple, mixed.collect())) == sorted(by[r.doc_id] for r in plain.collect())
+
+
+def test_encoder_takes_long_runs():
+    e, tok = packing.Encoder(FILE), Tokenizer.from_file(FILE)
+    texts = ["\n" * 1_000_000, "a" + " " * 200_000 + "b", "x " + "q" * 100_000 + " y", "c\n" + "\t" * 5000 + "d e", " \u3000" * 3000]
+    raw = [t.encode() for t in texts]
+    got = e.batch(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [g.tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_local_search_beats_best_fit_on_even_lengths():
+    rng = random.Random(0)
+    lengths = [rng.randint(500, 1099) for _ in range(4000)]
+    fit = packing.best_fit(lengths, 2048)
+    bins = packing.local_search(fit, lengths, 2048)
+    assert sorted(i for b in bins for i in b) == list(range(4000)) and all(sum(lengths[i] for i in b) <= 2048 for b in bins)
+    assert len(bins) <= 1643 < len(fit)
