@@ -57,3 +57,28 @@ def test_defined_cases(spark):
     assert got == {120: [(1, 121, 1.5), (2, 122, 1.5)]}
     assert neighbours.search(spark.createDataFrame(bad, SCHEMA)).count() == 0
     assert neighbours.search(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_columns_of_any_name_and_a_given_share(spark):
+    rows = [(i, [float(i % 7) - 3, 1.0 + i], "x", "y") for i in range(60)]
+    got = read(neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, c string, q string"), share=1.0))
+    assert got.keys() == {0, 20, 40} and all(len(v) == 20 for v in got.values())
+
+
+def test_recall_and_share_on_ten_thousand_vectors(spark):
+    rng = np.random.default_rng(2)
+    for clusters, most in ((0, 0.6), (50, 0.25)):
+        x = rng.normal(size=(10_000, 64))
+        if clusters:
+            x = 0.35 * x + rng.normal(size=(clusters, 64))[rng.integers(clusters, size=10_000)]
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        index = neighbours.Index(neighbours.kmeans(x[:, :32].astype(float), 64), neighbours.kmeans(x[:, 32:].astype(float), 64, seed=5))
+        assert index.share(x.astype(float), 20, 0.95) <= most
+        d = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA).where("vec_id % 20 <> 0 or vec_id % 100 = 0")
+        ids = np.asarray([i for i in range(10_000) if i % 20 or i % 100 == 0])
+        assert recall(read(neighbours.search(d)), exact(ids, x[ids])) >= 0.9
+
+
+def test_buckets_hold_about_a_block():
+    count = np.asarray([[3, 4], [10, 15], [1, 1], [0, 0], [2, 2]])
+    assert neighbours.buckets(count, 10) == ([0, 1, 4, 4, 4], [1, 3, 1, 1, 1])
