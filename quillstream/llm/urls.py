@@ -7,6 +7,7 @@ a level lets nothing wrong through. A key is listed if the first level that it f
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -16,7 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from ..functions.binding import let
+from .common import scope, scratch, table
 from .wordhash import mix
 
 _U = np.uint64
@@ -168,16 +170,23 @@ def parts(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def keys_of(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All host suffixes at label borders with the path's prefixes of the given lengths, longest first.
+def keys_of(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """The host's last labels with the path's beginning, for each (number of labels, path length) of
+    ``shapes`` that the url is long enough for; longest first, of equally long ones the longer host.
 
-    Equally long keys: the one with the longer host first.
+    A key takes time in proportion to its length, whatever the host's number of labels.
     """
-    labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    heads = F.filter(F.array(*(F.when(F.length(path) >= n, path.substr(F.lit(1), F.lit(n))) for n in lengths)), lambda p: p.isNotNull())
-    keys = F.flatten(F.transform(hosts, lambda h: F.transform(heads, lambda p: F.struct((-F.length(h) - F.length(p)).alias("n"), (-F.length(h)).alias("m"), F.concat(h, p).alias("key")))))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(F.array_sort(keys), lambda k: k["key"]))
+    known = F.from_json(F.lit(json.dumps([{"l": k, "n": n} for k, n in shapes])), "array<struct<l:int,n:int>>")
+
+    def key(s: Column) -> Column:
+        return let(F.call_function("substring_index", host, F.lit("."), -s["l"]), lambda h: F.struct((-F.length(h) - s["n"]).alias("n"), (-F.length(h)).alias("m"), F.concat(h, F.left(path, s["n"])).alias("key")))
+
+    def keys(size: Column) -> Column:
+        fit = F.filter(known, lambda s: (s["l"] <= size["l"]) & (s["n"] <= size["n"]))
+        return F.transform(F.array_sort(F.transform(fit, key)), lambda k: k["key"])
+
+    size = F.struct(F.size(F.split(host, r"\.")).alias("l"), F.length(path).alias("n"))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(let(size, keys))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, default: str = "allow", most_bytes: int = 64 << 20) -> DataFrame:
@@ -191,22 +200,25 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, defau
     Two cascades, of blocked and of allowed keys, are built over all keys of the pages; judging
     reads them from broadcasts of at most ``most_bytes`` (a shard of a million keys takes less),
     one pass over the pages for each such part, so lists of any length are exact and nothing is
-    joined. Defined cases: a null url or one without "://" has an empty host and path, no rule and
-    ``default``; an empty table gives no rows; repeated rows are judged alike.
+    joined. A url's keys are those of the shapes (labels of the host, length of the path) that the
+    rules have; the shapes reach the driver, of which there are as many as rules differ in them.
+    Defined cases: a null url or one without "://" has an empty host and path, no rule and
+    ``default``; rules with a null host or path fit nothing; an empty table gives no rows; repeated
+    rows are judged alike; only page_id and url are read, so further columns may have any name.
     """
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
         rules = spark.createDataFrame(rules, "verdict string, host string, path string")
-    lengths = [r.n for r in rules.select(F.length("path").alias("n")).distinct().orderBy("n").collect()]
-    if len(lengths) > 64:
-        raise ValueError("rules with more than 64 different path lengths")
+    shape = rules.where("host is not null and path is not null").select(F.size(F.split("host", r"\.")).alias("l"), F.length("path").alias("n"))
+    shapes = sorted((r.l, r.n) for r in shape.distinct().collect())
     host, path = parts(F.col("url"))
-    p = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths or [0]))
+    p = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("keys", keys_of(F.col("host"), F.col("path"), shapes))
     universe = p.select(F.explode("keys").alias("key"))
     keyed = rules.select("verdict", F.concat("host", "path").alias("key"))
     p = p.withColumn("h1", F.transform("keys", lambda k: F.xxhash64(k))).withColumn("h2", F.transform("keys", lambda k: F.xxhash64(k, F.lit("second"))))
     for verdict in ("allow", "block"):
-        cascade = build(universe, keyed.where(F.col("verdict") == verdict))
+        with scope():
+            cascade = build(universe, keyed.where(F.col("verdict") == verdict))
         p = p.withColumn(verdict, F.lit(0))
         for only in cascade.passes(most_bytes):
             p = _mark(p, verdict, Cascade([x if k in only else [] for k, x in enumerate(cascade.shards)]), only)
