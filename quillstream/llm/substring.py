@@ -1,9 +1,10 @@
-"""Substring dedup: level-wise doubling from windows of half the length to windows of the length.
+"""Substring dedup: level-wise doubling from short windows to windows of the length that counts.
 
-Level 1 asks which windows of half the length occur twice. Of the eleven half windows in a window
-of twenty words only the one with the smallest hash is asked about: equal windows have equal halves
-at equal places, so a window whose chosen half occurs once can't occur twice. Only what survives is
-extended to the full length at level 2, where the first place of each window is found.
+Level 1 asks which windows of a short length occur twice. Of all that lie in a window of the full length
+only the one with the smallest hash is asked about: equal windows have equal parts at equal places, so
+a window whose chosen part occurs once can't occur twice. What survives is extended to twice the
+length, and asked about again, until the full length is reached or no candidates survive; there the
+first place of each window is found.
 
 What travels is packed: a row has the entries of many texts for one bucket of hashes, as lists.
 """
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, scratch, slices, table, texts, unkeyed
+from .common import numbered, scope, scratch, slices, table, texts, unkeyed
 from .wordhash import Hasher, inside, mix, words
 
 _U = np.uint64
@@ -28,35 +29,53 @@ LISTS = "bucket int, docs array<long>, g array<long>, k array<int>, s array<int>
 FOUND = "bucket int, d array<long>, s array<int>, c array<int>"
 
 
+def levels(length: int, least: int = 10) -> list[int]:
+    """The lengths of the levels: ``length`` halved as long as that is even and a half has ``least`` words, one half at least."""
+    if length < 2 or length % 2:
+        raise ValueError("the length of a window must be even")
+    out = [length, length // 2]
+    while out[-1] % 2 == 0 and out[-1] // 2 >= least:
+        out.append(out[-1] // 2)
+    return out[::-1]
+
+
 class Parts:
-    """The windows of several texts: hashes of words, and for each window its chosen half."""
+    """The windows of several texts: hashes of words, and for each window its chosen part of ``width`` words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, first: Hasher) -> None:
-        self.length, self.data = length, data
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, width: int, first: Hasher) -> None:
+        self.length, self.width, self.data = length, width, data
         self.start, self.end, self.bounds = words(data, offsets)
-        self.half = first.ngrams(first.spans(first.prefix(data), self.start, self.end), length // 2)
+        self.part = first.ngrams(first.spans(first.prefix(data), self.start, self.end), width)
         self.windows = np.flatnonzero(inside(self.bounds, length))
         self.place = self._chosen()
 
     def _chosen(self) -> np.ndarray:
-        """For each window the place of its half window with the smallest hash, the leftmost of equals.
+        """For each window the place of its part with the smallest hash, the leftmost of equals.
 
         The low bits of the hash give way to the place, so a running minimum finds both.
         """
         if not len(self.windows):
             return np.zeros(0, np.int64)
-        at = np.arange(len(self.half), dtype=_U)
-        low = (self.half & ~_LOW) | (at & _LOW)
-        span, width = self.length // 2 + 1, 1
-        while width * 2 <= span:
-            low = np.minimum(low[:-width], low[width:])
-            width *= 2
-        if width < span:
-            low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
+        at = np.arange(len(self.part), dtype=_U)
+        low = (self.part & ~_LOW) | (at & _LOW)
+        span, wide = self.length - self.width + 1, 1
+        while wide * 2 <= span:
+            low = np.minimum(low[:-wide], low[wide:])
+            wide *= 2
+        if wide < span:
+            low = np.minimum(low[: len(low) - (span - wide)], low[span - wide :])
         low = (low[self.windows] & _LOW).astype(np.int64)
         base = self.windows & ~int(_LOW)
         return base + low + np.where(low < (self.windows & int(_LOW)), int(_LOW) + 1, 0)
 
+    def alive(self, ids: np.ndarray, fd: np.ndarray, fs: np.ndarray) -> np.ndarray:
+        """For each window whether its chosen part is among the places (document, word), sorted, that survived."""
+        held = np.zeros(len(self.part), bool)
+        lo, hi = np.searchsorted(fd, ids), np.searchsorted(fd, ids, side="right")
+        for k in np.flatnonzero(hi > lo):
+            held[fs[lo[k] : hi[k]] + self.bounds[k]] = True
+        return held[self.place]
+
     def own(self, place: np.ndarray) -> np.ndarray:
         """The text of each word place."""
         return np.searchsorted(self.bounds, place, side="right") - 1
@@ -73,45 +92,91 @@ def _by_bucket(bucket: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray,
     return order, there, np.append(first, count)
 
 
-def _firsts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order by key, and for each place in it the place where its run of equals starts."""
-    order = np.argsort(key, kind="stable")
-    s = key[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    return order, np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+def _firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by the keys, and for each place in it the place where its run of equals starts."""
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for k in keys:
+        s = k[order]
+        new[1:] |= s[1:] != s[:-1]
+    return order, np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+
 
+#: Hashes that a task remembers as repeated; what it forgets only travels once more.
+REMEMBERED = 1 << 20
 
-def level_one(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Per bucket of hashes, packed (doc, place) of the chosen half windows.
+
+class Asked:
+    """Packs the places of windows that are asked about, by buckets of their hashes.
 
     Of equal ones in a slice of texts the first alone travels by its hash; the others are known to
-    occur twice, and go along as such (rd, rs), in any bucket. So a passage in a third of all texts
-    arrives once per slice.
+    occur twice, and go along as such (rd, rs), in any bucket. So do all that the task has seen twice
+    in an earlier slice: a passage in a third of all texts arrives about once per task.
     """
 
+    def __init__(self, buckets: int) -> None:
+        self.buckets, self.known = buckets, np.zeros(0, _U)
+
+    def pack(self, ids: np.ndarray, p: Parts, place: np.ndarray) -> pa.RecordBatch | None:
+        if not len(place):
+            return None
+        place = place[np.append(True, place[1:] != place[:-1])]
+        own = p.own(place)
+        s, g = place - p.bounds[own], p.part[place]
+        order, start = _firsts(g)
+        lead, seen = start == np.arange(len(g)), np.isin(g[order], self.known)
+        many = np.bincount(start, minlength=len(g))[start] > 1
+        twice = order[many | seen]
+        if len(self.known) < REMEMBERED:
+            self.known = np.union1d(self.known, g[order[lead & many]])
+        order = order[lead & ~seen]
+        by, there, cuts = _by_bucket((mix(g[order]) % _U(self.buckets)).astype(np.int32), len(order))
+        order = order[by]
+        return _pack(there, cuts, ids[own[order]], g[order], s[order], None, None, ids[own[twice]], s[twice], np.ones(len(twice), np.int64))
+
+
+def level_one(docs: DataFrame, length: int, width: int, buckets: int) -> DataFrame:
+    """Per bucket of hashes, packed (doc, place) of the chosen parts of all windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = Hasher(3)
+        first, asked = Hasher(3), Asked(buckets)
         for part in slices(batches, "text"):
-            p = Parts(*texts(part), length, first)
-            if not len(p.place):
-                continue
-            place = p.place[np.append(True, p.place[1:] != p.place[:-1])]
-            own, ids = p.own(place), np.asarray(part.column(0))
-            s, g = place - p.bounds[own], p.half[place]
-            order, start = _firsts(g)
-            lead = start == np.arange(len(g))
-            many = np.bincount(start, minlength=len(g))[start] > 1
-            twice = order[many]
-            order = order[lead]
-            bucket = (mix(g[order]) % _U(buckets)).astype(np.int32)
-            by, there, cuts = _by_bucket(bucket, len(order))
-            order = order[by]
-            yield _pack(there, cuts, ids[own[order]], g[order], s[order], None, None, ids[own[twice]], s[twice], np.ones(len(twice), np.int64))
+            p = Parts(*texts(part), length, width, first)
+            out = asked.pack(np.asarray(part.column(0)), p, p.place)
+            if out is not None:
+                yield out
 
     return docs.mapInArrow(run, LISTS)
 
 
+def extend(docs: DataFrame, found: DataFrame, length: int, before: int, width: int, buckets: int, groups: int) -> DataFrame:
+    """The same for parts of ``width`` words, of the windows whose part of ``before`` words survived."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        first, asked, out = Hasher(3), Asked(buckets), []
+        if left.num_rows and right.num_rows:
+            fd, fs = _places(right)
+            for part in slices(left.sort_by("doc_id").combine_chunks().to_batches(), "text"):
+                ids = np.asarray(part.column(0))
+                short, long = (Parts(*texts(part), length, w, first) for w in (before, width))
+                out.append(asked.pack(ids, long, long.place[short.alive(ids, fd, fs)] if len(short.place) else long.place))
+        return pa.Table.from_batches([x for x in out if x is not None] or [_none()])
+
+    return _grouped(docs, found, groups).groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(run, LISTS)
+
+
+def _none() -> pa.RecordBatch:
+    return _pack(np.zeros(0, np.int32), np.zeros(1, np.int64), *[np.zeros(0, np.int64)] * 3, None, None, *[np.zeros(0, np.int64)] * 3).slice(0, 0)
+
+
+def _places(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The documents and word places of FOUND, sorted."""
+    d, s = (np.asarray(found.column(c).combine_chunks().flatten()) for c in ("d", "s"))
+    order = np.lexsort((s, d))
+    return d[order], s[order].astype(np.int64)
+
+
 def _pack(there: np.ndarray, cuts: np.ndarray, d: np.ndarray, g: np.ndarray, s: np.ndarray, c: np.ndarray | None, w: list | None, rd: np.ndarray, rs: np.ndarray, rc: np.ndarray) -> pa.RecordBatch:
     """Rows of LISTS, one per bucket; the known ones go with the first row. ``w``: values and bounds."""
     n = len(there)
@@ -156,7 +221,7 @@ def _bucket(d: np.ndarray, groups: int) -> np.ndarray:
 
 
 def repeated(entries: DataFrame, groups: int) -> DataFrame:
-    """FOUND: the places of half windows that occur twice or more."""
+    """FOUND: the places of parts that occur twice or more."""
 
     def run(t: pa.Table) -> pa.Table:
         e = _unpack(t)
@@ -203,64 +268,60 @@ def _id_bits(found: DataFrame, bits: int = 1 << 23) -> tuple[int, np.ndarray]:
     return bits, held.view(np.uint8)
 
 
-def level_two(docs: DataFrame, found: DataFrame, length: int, buckets: int, groups: int) -> DataFrame:
-    """Per bucket of hashes, the windows whose chosen half survived, packed as runs.
+def level_two(docs: DataFrame, found: DataFrame, length: int, width: int, buckets: int, groups: int) -> DataFrame:
+    """Per bucket of hashes, the windows whose chosen part of ``width`` words survived, packed as runs.
 
     Of equal windows of a group of documents the first alone travels; later ones are known to be
-    repeats. A run has consecutive windows with the same half g; w has a hash of each that is
+    repeats. A run has consecutive windows with the same part g; w has a hash of each that is
     independent of g's, so 128 bits decide.
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _pack(np.zeros(0, np.int32), np.zeros(1, np.int64), *[np.zeros(0, np.int64)] * 3, None, None, *[np.zeros(0, np.int64)] * 3).slice(0, 0)
+            return pa.Table.from_batches([_none()])
         first, second = Hasher(3), Hasher(33)
-        left = left.sort_by("doc_id").combine_chunks()
-        fd, fs = (np.asarray(right.column(c).combine_chunks().flatten()) for c in ("d", "s"))
-        order = np.lexsort((fs, fd))
-        fd, fs = fd[order], fs[order].astype(np.int64)
-        g, w, d, s, p = [], [], [], [], []
-        for part in slices(left.to_batches(), "text"):
+        fd, fs = _places(right)
+        g, w, d, s = [], [], [], []
+        for part in slices(left.sort_by("doc_id").combine_chunks().to_batches(), "text"):
             ids = np.asarray(part.column(0))
-            x = Parts(*texts(part), length, first)
+            x = Parts(*texts(part), length, width, first)
             if not len(x.place):
                 continue
-            alive = np.zeros(len(x.half), bool)
-            lo, hi = np.searchsorted(fd, ids), np.searchsorted(fd, ids, side="right")
-            for k in np.flatnonzero(hi > lo):
-                alive[fs[lo[k] : hi[k]] + x.bounds[k]] = True
-            on = alive[x.place]
+            on = x.alive(ids, fd, fs)
             at, place = x.windows[on], x.place[on]
             own = x.own(at)
             full = second.ngrams(second.spans(second.prefix(x.data), x.start, x.end), length)
-            g.append(x.half[place])
+            g.append(x.part[place])
             w.append(full[at])
             d.append(ids[own])
             s.append(at - x.bounds[own])
-            p.append(place - x.bounds[own])
-        g, w, d, s, p = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (g, w, d, s, p))
-        # Documents are in order, so the first of equals in a stable order is the earliest.
-        order, start = _firsts(g.view(_U) + mix(w.view(_U)))
-        lead = start == np.arange(len(order))
-        ahead = order[start]
-        later = order[~lead & ((d[ahead] != d[order]) | (s[ahead] != s[order]))]
-        go = np.sort(order[lead])
-        rd, rs, rc = runs(d[later], s[later])
-        new = np.ones(len(go), bool)
-        new[1:] = (d[go][1:] != d[go][:-1]) | (s[go][1:] != s[go][:-1] + 1) | (p[go][1:] != p[go][:-1])
-        head = np.flatnonzero(new)
-        count = np.diff(np.append(head, len(go)))
-        bucket = (mix(g[go[head]].view(_U)) % _U(buckets)).astype(np.int32)
-        by, there, cuts = _by_bucket(bucket, len(head))
-        head, count = head[by], count[by]
-        idx = np.repeat(head - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        wcuts = np.concatenate([[0], np.cumsum(count)])[cuts]
-        lead = go[head]
-        return pa.Table.from_batches([_pack(there, cuts, d[lead], g[lead].view(_U), s[lead], count, [w[go[idx]].view(_U), wcuts], rd, rs, rc)])
+        return pa.Table.from_batches([_leads(*(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (d, s, g, w)), buckets)])
 
     return _grouped(docs, found, groups).groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(run, LISTS)
 
 
+def _leads(d: np.ndarray, s: np.ndarray, g: np.ndarray, w: np.ndarray, buckets: int, known: tuple[np.ndarray, ...] | None = None) -> pa.RecordBatch:
+    """LISTS of the first of each run of equal windows, which are in the order of their documents, and the others (and ``known``) as repeats."""
+    g, w = g.view(_U), w.view(_U)
+    order, start = _firsts(g, w)
+    lead, ahead = start == np.arange(len(order)), order[start]
+    later = order[~lead & ((d[ahead] != d[order]) | (s[ahead] != s[order]))]
+    go = np.sort(order[lead])
+    repeats = runs(d[later], s[later])
+    if known:
+        repeats = tuple(np.concatenate([a, b]) for a, b in zip(repeats, known, strict=True))
+    new = np.ones(len(go), bool)
+    new[1:] = (d[go][1:] != d[go][:-1]) | (s[go][1:] != s[go][:-1] + 1) | (g[go][1:] != g[go][:-1])
+    head = np.flatnonzero(new)
+    count = np.diff(np.append(head, len(go)))
+    by, there, cuts = _by_bucket((mix(g[go[head]]) % _U(buckets)).astype(np.int32), len(head))
+    head, count = head[by], count[by]
+    idx = np.repeat(head - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    wcuts = np.concatenate([[0], np.cumsum(count)])[cuts]
+    first = go[head]
+    return _pack(there, cuts, d[first], g[first], s[first], count, [w[go[idx]], wcuts], *repeats)
+
+
 def runs(d: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs (document, first place, number) of places."""
     if not len(d):
@@ -274,22 +335,44 @@ def runs(d: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return d[at], s[at], s[last] - s[at] + 1
 
 
-def later(entries: DataFrame, groups: int) -> DataFrame:
-    """FOUND: runs of windows that also start earlier."""
+def _windows(e: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """d, s, g, w of each window of unpacked runs, in the order of documents and places."""
+    c = e["c"].astype(np.int64)
+    step = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+    d, s, g = np.repeat(e["d"], c), np.repeat(e["s"], c) + step, np.repeat(e["g"], c)
+    order = np.lexsort((s, d))
+    return d[order], s[order], g[order], e["w"][order]
+
+
+#: From so many groups of documents on, the entries of a bucket are first joined in parts.
+MANY = 1 << 10
+
+
+def later(entries: DataFrame, buckets: int, groups: int) -> DataFrame:
+    """FOUND: runs of windows that also start earlier.
+
+    A passage in a third of all texts comes once from each group of documents. Where these are many,
+    a bucket's entries are joined in as many parts as the root of their number first, of which each
+    passes the first window of equals on, so no task meets all groups.
+    """
+
+    def part(t: pa.Table) -> pa.Table:
+        e = _unpack(t)
+        out = _leads(*_windows(e), buckets, (e["rd"], e["rs"], e["rc"]))
+        return pa.Table.from_batches([out])
 
     def run(t: pa.Table) -> pa.Table:
         e = _unpack(t)
-        c = e["c"].astype(np.int64)
-        step = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        d, s, key = np.repeat(e["d"], c), np.repeat(e["s"], c) + step, np.repeat(e["g"], c) + mix(e["w"])
-        order = np.lexsort((s, d))
-        d, s, key = d[order], s[order], key[order]
-        order, start = _firsts(key)
+        d, s, g, w = _windows(e)
+        order, start = _firsts(g, w)
         ahead = order[start]
         bad = order[(d[ahead] != d[order]) | (s[ahead] != s[order])]
         rd, rs, rc = runs(d[bad], s[bad])
         return _found(np.concatenate([rd, e["rd"]]), np.concatenate([rs, e["rs"]]), np.concatenate([rc, e["rc"]]), groups)
 
+    if groups >= MANY:
+        salt = F.pmod(F.xxhash64(F.get("docs", F.lit(0))), F.lit(int(groups**0.5)))
+        entries = entries.groupBy("bucket", salt.alias("salt")).applyInArrow(part, LISTS)
     return entries.groupBy("bucket").applyInArrow(run, FOUND)
 
 
@@ -324,14 +407,22 @@ def remove_repeats(docs: DataFrame, length: int = 20, digest: bool = False) -> D
     the one with the smaller SHA-256 comes first. ``digest``: kept is the SHA-256 of the
     text instead of the text. Defined cases: null: no words; texts shorter than a window keep all;
     rows that repeat a document are treated alike and aren't earlier than one another; a null id
-    counts as the smallest; an empty table gives no rows.
+    counts as the smallest; an empty table gives no rows; further columns of any name are left out.
     """
     d, names = numbered(docs)
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Buckets of about half a million entries; groups of about 4 MB of texts.
     buckets, groups = 1 + size // 20_000_000, 1 + size // 4_000_000
-    half = scratch(repeated(level_one(d, length, buckets), groups))
-    full = scratch(later(level_two(d, half, length, buckets, groups), groups))
+    widths = levels(length)
+    with scope():
+        found = scratch(repeated(level_one(d, length, widths[0], buckets), groups))
+        # Double the length until it is the full one or nothing survives.
+        for before, width in zip(widths, widths[1:-1]):  # noqa: B905
+            if found.isEmpty():
+                break
+            found = scratch(repeated(extend(d, found, length, before, width, buckets, groups), groups))
+        last = found if found.isEmpty() else later(level_two(d, found, length, widths[-2], buckets, groups), buckets, groups)
+        full = scratch(last, keep=True)
     bits, held = _id_bits(full)
     b = docs.sparkSession.sparkContext.broadcast(held)
 

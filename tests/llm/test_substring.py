@@ -47,6 +47,27 @@ def test_other_length(spark):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == want
 
 
+def test_three_levels_and_parts(spark, monkeypatch):
+    assert substring.levels(20) == [10, 20] and substring.levels(40) == [10, 20, 40] and substring.levels(6) == [3, 6] and substring.levels(36) == [18, 36]
+    monkeypatch.setattr(substring, "MANY", 1)
+    monkeypatch.setattr(substring, "REMEMBERED", 3)
+    rng = random.Random(8)
+    passages = [[f"p{rng.randrange(90)}" for _ in range(n)] for n in (12, 25, 39, 40, 41, 60, 90)]
+    rows = []
+    for i in range(200):
+        w = []
+        for _ in range(rng.randrange(0, 4)):
+            w += rng.choice(passages) if rng.random() < 0.7 else [f"u{rng.randrange(9999)}" for _ in range(rng.randrange(60))]
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for length in (40, 20):
+        got = substring.remove_repeats(d, length=length).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == brute(rows, length)
+    # Nothing survives the first level.
+    alone = spark.createDataFrame([(i, " ".join(f"{i}x{j}" for j in range(90))) for i in range(9)], "doc_id long, text string")
+    assert {(r.n_words, r.n_removed) for r in substring.remove_repeats(alone, length=80).collect()} == {(90, 0)}
+
+
 def test_defined_cases(spark, docs, rows, none):
     more = docs.unionByName(spark.createDataFrame([(None, rows[5][1], "en", "s", 1, "x", "y")], docs.schema))
     check(substring.remove_repeats(more).collect(), [*((r[0], r[1]) for r in rows), (None, rows[5][1])])
