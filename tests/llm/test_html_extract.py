@@ -28,7 +28,7 @@ def test_marginals_match_enumeration():
     page = h.parse("<div><p>a b</p><p class=x>c</p></div>")
     rng = np.random.default_rng(0)
     f = h.Forest([page], {"text": 0, "tag p": 1, "name x": 2})
-    w, t = rng.normal(size=(3, 2)), rng.normal(size=(2, 3, 3))
+    w, t = rng.normal(size=(3, 2)), rng.normal(size=(h.PART + 1, 3, 3))
     p, joint = f.marginals(w, t)
     n, total, want = len(f.parent), 0.0, np.zeros((len(f.parent), 3))
     for y in itertools.product(range(3), repeat=n):
@@ -70,3 +70,46 @@ def test_pages_with_label_attributes_of_their_own():
     page = "<main><p{}>Text of the page, long enough.</p></main>"
     for value in ("", ' data-y="50%"', ' data-y="0.5"', " data-y=''", ' data-y="1"', ' data-y="7"'):
         assert texts(page.format(value)) == "Text of the page, long enough."
+
+
+ONE = "The council agreed on Tuesday to rebuild the old bridge over the river, after months of talks about its cost and its place in the town."
+TWO = "Work will begin in the spring, and the road will stay open for most of the year, said the mayor. Residents had asked for that."
+ARTICLE, WANT = f"<p>{ONE}</p><p>{TWO}</p>", f"{ONE}\n\n{TWO}"
+MENU = "<a href=/>Home</a> <a href=/n>News</a> <a href=/c>Contact</a>"
+#: Pages that no template of the training has: hand-written, with few or no names.
+OTHERS = {
+    "loose": f"<html><body>{ARTICLE}</body></html>",
+    "generated class": f'<body><div class="css-1x2y3z">{ARTICLE}</div></body>',
+    "generated id": f'<body><div id="u42">{ARTICLE}</div></body>',
+    "table": f"<body><table><tr><td>{MENU}</td><td>{ARTICLE}</td></tr><tr><td colspan=2>&copy; 2020 The Town Herald</td></tr></table></body>",
+    "no names": f"<body><div>{MENU}</div><div>{ARTICLE}</div><div>&copy; 2020 Town</div></body>",
+    "list menu": f"<body><ul><li><a href=/>Home</a><li><a href=/a>About us</a></ul>{ARTICLE}<footer>Imprint</footer></body>",
+    "comments": f"<body><article>{ARTICLE}</article><section id=comments><h3>Comments</h3><p>I like this a lot.</p></section></body>",
+    "sidebar": f'<body><div id="page"><aside><h3>Most read</h3><ul><li><a href=/1>Rain again</a></li><li><a href=/2>New shop</a></li></ul></aside><main>{ARTICLE}</main></div></body>',
+    "notice": f'<body><div class="cookie-banner"><p>We use cookies. <a href=/p>Read more</a></p></div><article>{ARTICLE}</article><form><label>Mail</label><input><button>Go</button></form></body>',
+}
+
+
+def test_pages_of_other_templates():
+    got = {k: texts(page) for k, page in OTHERS.items()}
+    assert got == dict.fromkeys(OTHERS, WANT)
+    title = texts(f"<body><div class=x7><h1>A new bridge</h1>{ARTICLE}<ul><li>First, the piers are built.</li><li>Then the deck is laid.</li></ul></div></body>")
+    assert title == f"A new bridge\n\n{WANT}\n\nFirst, the piers are built.\n\nThen the deck is laid."
+
+
+def test_parsing_is_linear():
+    import time
+
+    for piece in ("<a ", "<b>", "<b></i>", "<div>", "<p><b>", "<li><b>", "<td>", "<!--", '<a "', "< ", "<b><p>x"):
+        start = time.process_time()
+        h.parse(piece * 4000)
+        small = time.process_time() - start
+        start = time.process_time()
+        h.parse(piece * 32_000)
+        assert time.process_time() - start < 24 * max(small, 0.05), piece
+
+
+def test_long_pages(spark):
+    long = "<article>" + "".join(f"<p>{ONE} {i}</p>" for i in range(8000)) + "</article>"
+    got = h.extract(spark.createDataFrame([(1, "u", long)], "page_id long, url string, html string")).first()
+    assert got.text.count("\n\n") == 7999 and got.n_chars == len(got.text)

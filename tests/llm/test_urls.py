@@ -52,3 +52,15 @@ def test_query_matches_sql(spark, sf):
     con.execute(f"create view pages as select * from '{sf}/pages.parquet'")
     want = con.execute(urls.ORACLE_SQL).fetchall()
     assert sorted(map(tuple, urls.op1_url_filter(spark, sf).collect())) == sorted(want)
+
+
+def test_long_hosts_and_many_lengths(spark):
+    rng = random.Random(1)
+    rules = [("block" if n % 2 else "allow", f"r{n % 5}.net", "/" + "a" * n) for n in range(150)] + [("allow", "a.a.a", "/")]
+    pages = [(i, f"http://x.r{i % 5}.net/{'a' * rng.randrange(200)}b") for i in range(300)]
+    pages += [(1000, "http://" + "a." * 4000 + "a/x"), (1001, "http://a.a/" + "y" * 100_000), (1002, "http://" + "." * 3000 + "/")]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()
+    by = dict(pages)
+    assert len(got) == len(pages)
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict) == plain(by[r.page_id], rules)
