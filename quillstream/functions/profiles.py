@@ -66,6 +66,11 @@ def quantile(p: Column, q: float) -> Column:
     return let(F.array_sort(p), of)
 
 
+def lower_median(p: Column) -> Column:
+    """The smaller of the two middle values, as is; quantile(p, 0.5) is their mean."""
+    return let(F.array_sort(p), lambda s: F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")))
+
+
 def band_score(p: Column) -> Column:
     """(score, bands, gap_fraction) of a profile; -10 for an empty one."""
     widest = F.greatest(F.lit(3), F.floor(F.size(p) / 5).cast("int"))

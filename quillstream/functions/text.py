@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType
 
-from .binding import let
+from .binding import let, running
 
 #: White space as Unicode has it, spelt out: Java's and RE2's \s are ASCII, and differ by \v.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -208,6 +208,45 @@ def line_texts(raw: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(raw, F.lit(r"(?is)<Line\b[^>]*>(.*?)</Line>"), F.lit(1)), clean_text), lambda x: x != "")
 
 
+def line_spans(raw: Column) -> Column:
+    """Array of (start, end) in code points, end exclusive, of all <Line> elements."""
+    pattern = r"(?is)<Line\b[^>]*>.*?</Line>"
+    found, gaps = F.regexp_extract_all(raw, F.lit(pattern), F.lit(0)), F.split(raw, pattern, -1)
+    sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
+
+    def placed(x: Column) -> Column:
+        before = running(x, lambda e: e["g"] + e["m"], F.lit(0), lambda p, q: p + q, "int")
+        return F.zip_with(x, before, lambda e, at: F.struct((at + e["g"]).alias("start"), (at + e["g"] + e["m"]).alias("end")))
+
+    return let(sizes, placed)
+
+
+def token_spans(raw: Column, lengths: Column) -> Column:
+    """For each <Line> element the tokens that it touches, as (first, last exclusive); ``lengths`` has the
+    code points of each token, in the order in which they make up ``raw``."""
+    begin = running(lengths, lambda n: n, F.lit(0), lambda p, q: p + q, "int")
+
+    def of(starts: Column) -> Column:
+        ends = F.zip_with(starts, lengths, lambda b, n: b + n)
+        return F.transform(line_spans(raw), lambda s: F.struct(F.size(F.filter(ends, lambda e: e <= s["start"])).alias("first"), F.size(F.filter(starts, lambda b: b < s["end"])).alias("last")))
+
+    return let(begin, of)
+
+
+def line_values(raw: Column, lengths: Column, trace: Column) -> Column:
+    """For each <Line> element the median of its tokens' values, null without any. ``trace`` begins with the
+    value of the second token, as the first has none."""
+    def middle(a: Column) -> Column:
+        return let(F.array_sort(a), lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2)
+
+    def value(s: Column) -> Column:
+        first = F.greatest(s["first"] - 1, F.lit(0))
+        own = F.filter(F.slice(trace, first + 1, F.greatest(s["last"] - 1 - first, F.lit(0))), lambda v: v.isNotNull())
+        return F.when(F.size(own) > 0, middle(own))
+
+    return F.transform(token_spans(raw, lengths), value)
+
+
 def safe_name(value: Column, default: str = "item", most: int = 80) -> Column:
     """A file name: other characters than A-Z a-z 0-9 _ . - become _."""
     v = F.btrim(F.regexp_replace(F.coalesce(value, F.lit("")), "[^A-Za-z0-9_.-]+", "_"), F.lit("_."))

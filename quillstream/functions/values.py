@@ -59,6 +59,11 @@ def object_hash(fields: dict[str, Column]) -> Column:
     return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"}), 256)
 
 
+def iso_utc(ts: Column) -> Column:
+    """A time as ISO 8601 text in UTC with microseconds (the session's time zone being UTC)."""
+    return F.date_format(ts.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
 def source_fingerprint(path: Column, size: Column, modified_ns: Column) -> Column:
     """Ten hexadecimal digits that change with a file's path, size or time."""
     return F.left(F.sha2(F.concat_ws("|", path, size.cast("string"), modified_ns.cast("string")), 256), F.lit(10))

@@ -22,6 +22,19 @@ def identity(*precedence: Column | str) -> Column:
     return F.when(F.trim(found) != "", found).otherwise(F.raise_error(F.lit("row without a page identity")).cast("string"))
 
 
+def item_identity(item: Column) -> Column:
+    """The item's identity if it is given: no other column stands in for it, as others are too broad; else empty."""
+    return F.coalesce(item.cast("string"), F.lit(""))
+
+
+def page_key(first: Column | str, second: Column | str, image: Column) -> Column:
+    """(id, image) that tells a page's rows apart: an id that may be missing, and the image's path without . and .. parts."""
+    parts = F.filter(F.split(F.coalesce(image, F.lit("")), "/+"), lambda p: ~p.isin("", "."))
+    up = lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
+    path = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/"))
+    return F.struct(F.coalesce(present(first, second), F.lit("")).alias("id"), path.alias("image"))
+
+
 def task_type(value: Column) -> Column:
     """page or line from their aliases; null and empty: page; an error otherwise."""
     v = F.lower(F.trim(F.coalesce(value, F.lit(""))))

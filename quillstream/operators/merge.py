@@ -62,9 +62,10 @@ def incomplete_pages(rows: DataFrame) -> DataFrame:
     return off.groupBy("parent").agg(names(~F.col("there")).alias("missing"), names(F.col("there")).alias("empty"))
 
 
-def best_attempt(rows: DataFrame, key: str, attempt: str, text: str, complete: str, xml: str) -> DataFrame:
-    """Of each key's attempts the best: complete XML before complete before others, then the longest, then the earliest."""
-    tier = F.when(F.col(complete) & F.col(xml), 2).when(F.col(complete), 1).otherwise(0)
+def best_attempt(rows: DataFrame, key: str, attempt: str, text: str, complete: str, xml: str | None = None) -> DataFrame:
+    """Of each key's attempts the best: complete XML (if ``xml`` says so) before complete before others, then the longest, then the earliest."""
+    whole = F.col(complete)
+    tier = (F.when(whole & F.col(xml), 2).when(whole, 1) if xml else F.when(whole, 1)).otherwise(0)
     rank = F.struct(tier.alias("tier"), F.length(text).alias("size"), (-F.col(attempt)).alias("early"))
     return rows.groupBy(key).agg(F.max_by(F.struct(attempt, text), rank).alias("b")).select(key, "b.*")
 

@@ -49,13 +49,13 @@ def snapshot(states: DataFrame, retention_hours: float, shown: int = SHOWN) -> D
 
 def by_command(processes: DataFrame) -> DataFrame:
     """Processes grouped by command: sums of cpu and memory, workers, the longest-running one, and a
-    status of the set of states."""
+    status of the set of states: paused if one is stopped, waiting if all sleep, else running."""
     g = processes.groupBy("command").agg(
         F.round(F.sum("cpu"), 6).alias("cpu"), F.sum("memory").alias("memory"), F.count("*").alias("workers"),
         F.max_by("pid", F.struct("elapsed", (-F.col("pid")).alias("p"))).alias("primary_pid"), F.collect_set("state").alias("states"),
     )
-    s = lambda x: F.array_contains("states", x)
-    return g.withColumn("status", F.when(s("R") | s("S"), "running").when(s("T"), "paused").otherwise("waiting")).drop("states")
+    asleep = F.forall("states", lambda s: s.isin("S", "I"))
+    return g.withColumn("status", F.when(F.array_contains("states", "T"), "paused").when(asleep, "waiting").otherwise("running")).drop("states")
 
 
 #: What a progress file calls its two numbers, in the order in which they are looked for, the

@@ -55,6 +55,11 @@ def band_score_smoothed(spark: SparkSession, d: str) -> DataFrame:
     return v.select("vec_id", F.round("b.score", 6).alias("score"), "b.bands", F.round("b.gap_fraction", 6).alias("gap_fraction"))
 
 
+@query(f"{_V} select vec_id, list_median(a) as median, list_sort(a)[(len(a) + 1) // 2] as lower_median from v")
+def medians(spark: SparkSession, d: str) -> DataFrame:
+    return _profiles(spark, d).select("vec_id", p.quantile(c("a"), 0.5).alias("median"), p.lower_median(c("a")).alias("lower_median"))
+
+
 _PAGES = "select user_id::varchar as item, (event_id // 2)::varchar as page, event_id as pos, case when user_id % 3 <> 0 and event_id % 10 < 8 then 90 else event_id % 4 * 90 end as left_angle, case when user_id % 3 <> 0 and event_id % 10 < 8 then 270 else event_id // 4 % 4 * 90 end as right_angle, event_type <> 'error' as left_content, event_type <> 'signup' as right_content, value % 1.0 as left_conf, 0.3 + event_id % 70 / 100.0 as right_conf from events"
 
 

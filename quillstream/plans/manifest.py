@@ -53,6 +53,14 @@ def duplicates(spark: SparkSession, d: str) -> DataFrame:
     return m.duplicates(table(spark, d, "orders"), "o_custkey")
 
 
+@query("select page_id, case when page_id % 3 = 0 then '' else 'i' || page_id end as item, case when page_id % 2 = 0 then 'p' || page_id when page_id % 5 <> 0 then url else '' end as id, '/a/c/' || page_id || '.jpg' as image from pages")
+def page_keys(spark: SparkSession, d: str) -> DataFrame:
+    n = c("page_id").cast("string")
+    key = m.page_key(F.when(c("page_id") % 2 == 0, F.concat(F.lit("p"), n)), F.when(c("page_id") % 5 != 0, c("url")).otherwise(""), F.concat(F.lit("/a/./b//../c/"), n, F.lit(".jpg")))
+    pages = table(spark, d, "pages").select("page_id", m.item_identity(F.when(c("page_id") % 3 != 0, F.concat(F.lit("i"), n))).alias("item"), key.alias("k"))
+    return pages.select("page_id", "item", "k.id", "k.image")
+
+
 @query("(select l_orderkey as k, 'extra' as side from lineitem except select o_orderkey, 'extra' from orders) union all (select o_orderkey, 'missing' from orders except select l_orderkey, 'missing' from lineitem)")
 def missing_extra(spark: SparkSession, d: str) -> DataFrame:
     have = table(spark, d, "lineitem").select(c("l_orderkey").alias("k"))
@@ -151,6 +159,11 @@ def best_attempt(spark: SparkSession, d: str) -> DataFrame:
     return merge.best_attempt(_attempts(spark, d), "conv_id", "turn", "text", "complete", "xml").select("conv_id", c("turn").cast("long").alias("turn"))
 
 
+@query(f"{_ATTEMPTS} select conv_id, arg_max(turn, (tier >= 1, length(text), -turn))::bigint as turn from r group by conv_id")
+def best_attempt_simple(spark: SparkSession, d: str) -> DataFrame:
+    return merge.best_attempt(_attempts(spark, d), "conv_id", "turn", "text", "complete").select("conv_id", c("turn").cast("long").alias("turn"))
+
+
 @query(f"{_ATTEMPTS}, s as (select *, coalesce(min(turn) filter (tier = 2) over (partition by conv_id), 1000000) as stop from r) select conv_id, turn from s where turn <= stop")
 def early_stop(spark: SparkSession, d: str) -> DataFrame:
     return merge.until_clean(_attempts(spark, d), "conv_id", "turn", "xml").select("conv_id", "turn")

@@ -47,9 +47,10 @@ def snapshot(spark: SparkSession, d: str) -> DataFrame:
     return p.snapshot(_states(spark, d), 72).select("task", "status", c("rank").cast("long").alias("rank"), "place")
 
 
-@query("select event_type as command, round(sum(value), 6) as cpu, sum(user_id)::bigint as memory, count(*) as workers, arg_max(event_id, (event_id % 1000, -event_id)) as primary_pid, case when bool_or(event_id % 3 < 2) then 'running' else 'paused' end as status from events group by event_type")
+@query("select event_type as command, round(sum(value), 6) as cpu, sum(user_id)::bigint as memory, count(*) as workers, arg_max(event_id, (event_id % 1000, -event_id)) as primary_pid, case when event_type = 'click' then 'paused' when event_type = 'error' then 'waiting' else 'running' end as status from events group by event_type")
 def process_groups(spark: SparkSession, d: str) -> DataFrame:
-    state = F.when(c("event_id") % 3 == 0, "R").when(c("event_id") % 3 == 1, "S").otherwise("T")
+    other = F.when(c("event_type") == "click", "T").when(c("event_type") == "error", "I").otherwise("R")
+    state = F.when(c("event_id") % 3 == 1, "S").otherwise(other)
     e = table(spark, d, "events").select(c("event_type").alias("command"), c("value").alias("cpu"), c("user_id").alias("memory"), c("event_id").alias("pid"), (c("event_id") % 1000).alias("elapsed"), state.alias("state"))
     return p.by_command(e)
 

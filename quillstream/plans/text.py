@@ -199,10 +199,29 @@ def shared_4gram(spark: SparkSession, d: str) -> DataFrame:
     return p.select("doc_id", "item_id", shared.cast("long").alias("shared_words"), F.round(shared / least, 6).alias("containment"))
 
 
-@query("select * from (values (1, '61-65,70'), (2, '3'), (3, ' 2 , 1,2 '), (4, '5-4')) v(id, spec), lateral (select coalesce(string_agg(n::varchar, ',' order by n), '') as pages from (select distinct unnest(case when contains(trim(x), '-') then range(split_part(trim(x), '-', 1)::int, split_part(trim(x), '-', 2)::int + 1) else [trim(x)::int] end) as n from (select unnest(string_split(spec, ',')) as x)))")
+@query("select event_id, array_to_string(list_sort(list_distinct(case when event_id % 4 = 3 then [] else range(event_id % 50, event_id % 50 + event_id % 6 + 1) end || [event_id % 9, event_id % 50])), ',') as pages from events")
 def parse_pages(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "61-65,70"), (2, "3"), (3, " 2 , 1,2 "), (4, "5-4")], "id int, spec string")
-    return rows.select("id", "spec", F.array_join(t.parse_pages(c("spec")).cast("array<string>"), ",").alias("pages"))
+    """Page ranges as text; every fourth runs backwards and is empty."""
+    a, s = c("event_id") % 50, lambda x: x.cast("string")
+    last = F.when(c("event_id") % 4 == 3, a - 1 - c("event_id") % 6).otherwise(a + c("event_id") % 6)
+    spec = F.concat(F.when(last >= 0, F.concat(s(a), F.lit("-"), s(last))).otherwise(F.concat(s(a + 9), F.lit("-"), s(a))), F.lit(" , "), s(c("event_id") % 9), F.lit(",,"), s(a))
+    return table(spark, d, "events").select("event_id", F.array_join(t.parse_pages(spec).cast("array<string>"), ",").alias("pages"))
+
+
+_NUMBERED = f"with l as (select doc_id, {sql.lines('text')} as ls from documents), x as (select doc_id, list_transform(ls, lambda s: '<line>' || replace(s, '<', '') || '</line>') as ls from l), n as (select doc_id, unnest(ls) as s, unnest(range(1, len(ls) + 1)) as i, ls from x), p as (select doc_id, i, s, list_sum(list_transform(ls[1:i - 1], lambda q: length(q) + 1))::bigint as before from n)"
+
+
+@query(f"{_NUMBERED}, b as (select *, coalesce(before, 0) as a, coalesce(before, 0) + length(s) as z from p), k as (select *, a // 5 as first, (z + 4) // 5 as last from b), v as (select *, list_transform(range(greatest(first - 1, 0), greatest(last - 1, greatest(first - 1, 0))), lambda t: case when t % 11 <> 4 then (t * 37 % 101) / 100.0 end::double) as own from k) select doc_id, i - 1 as line, a::bigint as start, z::bigint as finish, first::bigint as first_token, last::bigint as last_token, round(list_median(list_filter(own, lambda q: q is not null)), 6) as grounding from v")
+def line_groundings(spark: SparkSession, d: str) -> DataFrame:
+    """Where tagged lines lie in a text, which of its tokens (five characters each) they touch, and the median
+    of these tokens' values."""
+    x = table(spark, d, "documents").select("doc_id", F.transform(t.lines(c("text")), lambda s: F.concat(F.lit("<line>"), F.replace(s, F.lit("<"), F.lit("")), F.lit("</line>"))).alias("ls"))
+    x = x.select("doc_id", F.array_join("ls", " ").alias("raw")).where("raw <> ''")
+    n = F.ceil(F.length("raw") / 5).cast("int")
+    trace = F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda k: F.when(k % 11 != 4, (k * 37 % 101) / F.lit(100.0)))
+    x = x.select("doc_id", "raw", F.array_repeat(F.lit(5), n).alias("lengths"), F.when(n > 1, trace).otherwise(F.array().cast("array<double>")).alias("trace"))
+    z = F.arrays_zip(t.line_spans(c("raw")).alias("s"), t.token_spans(c("raw"), c("lengths")).alias("t"), t.line_values(c("raw"), c("lengths"), c("trace")).alias("v"))
+    return x.select("doc_id", F.posexplode(z).alias("line", "z")).select("doc_id", c("line").cast("long").alias("line"), c("z.s.start").cast("long").alias("start"), c("z.s.end").cast("long").alias("finish"), c("z.t.first").cast("long").alias("first_token"), c("z.t.last").cast("long").alias("last_token"), F.round("z.v", 6).alias("grounding"))
 
 
 _LINE = "case event_id % 5 when 0 then 'epoch ' || event_id % 7 || '/' || (event_id % 7 + 3) when 1 then '{\"processed\": ' || event_id % 50 || ', \"total\": 50}' when 2 then 'done ' || event_id % 101 || '% ok' when 3 then 'pages: ' || event_id % 9 || ' of 9' else 'loading' end"

@@ -23,6 +23,11 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("l_orderkey", "l_linenumber").agg(F.sum(area).alias("area"), F.count("*").alias("copies"))
 
 
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') as at from events")
+def iso_times(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", v.iso_utc(c("ts")).alias("at"))
+
+
 @query("select event_id, case when event_id % 7 in (1, 2) then null else value end as finite, greatest(10, least(60, value)) as clamped from events")
 def numbers(spark: SparkSession, d: str) -> DataFrame:
     odd = F.when(c("event_id") % 7 == 1, float("nan")).when(c("event_id") % 7 == 2, float("inf")).otherwise(c("value"))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
 import re
+import subprocess
 import time
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql.streaming import StreamingQueryListener
 
+from ..functions.text import JSON_PAIRS, LINE_METRICS, RATIOS
 from ..sources.jsonl import write_json
 
 #: The folder of sidecars, unless a caller names one.
@@ -79,6 +83,47 @@ class Task:
             self.finish()
 
 
+def read_line(line: str) -> tuple[float, float] | None:
+    """What parse_progress() of functions.text says of one line, for lines that are read on the driver."""
+    text = re.sub(r"\x1b\[[0-?]*[ -/]*[@-~]", "", line).strip()
+    said = _object(text)
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+    for a, b in JSON_PAIRS:
+        if number(said.get(a)) and number(said.get(b)) and said[b] > 0:
+            return float(said[a]), float(said[b])
+    for pattern in RATIOS:
+        m = re.search(pattern, text)
+        if m and float(m[2]) > 0:
+            return float(m[1]), float(m[2])
+    m = re.search(r"(?:^|[^\d.])(100|\d{1,2})(?:\.\d+)?\s*%", text)
+    return (float(m[1]), 100.0) if m else None
+
+
+def _object(text: str) -> dict:
+    try:
+        value = json.loads(text)
+    except ValueError:
+        return {}
+    return value if isinstance(value, dict) else {}
+
+
+def run_tracked(command: list[str], name: str, folder: str | None = None, task_id: str | None = None, tail: int = 30) -> tuple[int, list[str]]:
+    """Run a command, report what its output says about progress, and return its exit code and last lines."""
+    last: deque[str] = deque(maxlen=tail)
+    task = Task(name, folder=folder, task_id=task_id)
+    with subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.STDOUT, text=True, errors="replace") as child:
+        for line in child.stdout:
+            last.append(line.rstrip("\n"))
+            at = read_line(line)
+            metrics = {k: v for k, v in _object(line).items() if k in LINE_METRICS and isinstance(v, (int, float)) and not isinstance(v, bool)}
+            task.update(*(at[:1] if at else ()), message=last[-1][:300], metrics=metrics, total=at[1] if at else None)
+    if child.returncode:
+        task.fail(f"exit code {child.returncode}: " + " | ".join(list(last)[-3:]))
+    else:
+        task.finish()
+    return child.returncode, list(last)
+
+
 class QueryReports(StreamingQueryListener):
     """Reports each streaming query's rows and state as a task; spark.streams.addListener(QueryReports(...))."""
 

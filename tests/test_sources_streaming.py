@@ -1,5 +1,6 @@
 import hashlib
 import json
+import sys
 
 import pytest
 from quillstream.operators import recognizer
@@ -195,3 +196,12 @@ def test_task_reports(tmp_path):
         raise KeyError("gone")
     state = json.loads((tmp_path / "x.json").read_text())
     assert state["status"] == "failed" and "gone" in state["message"] and tasks.alive(state["pid"])
+
+
+def test_tracked_commands(tmp_path):
+    code = 'import sys\nfor i in range(40): print("page", i, "/ 40")\nprint(\'{"loss": 0.5, "epoch": 2, "epochs": 4}\')\nsys.exit(int(sys.argv[1]))'
+    for exit_code, status in ((0, "complete"), (3, "failed")):
+        got, last = tasks.run_tracked([sys.executable, "-c", code, str(exit_code)], "job", str(tmp_path), f"j{exit_code}")
+        state = json.loads((tmp_path / f"j{exit_code}.json").read_text())
+        assert (got, len(last), state["status"], state["total"], state["metrics"]) == (exit_code, 30, status, 4.0, {"loss": 0.5})
+    assert [tasks.read_line(x) for x in ("epoch 2/5", "x 7 of 9", "items: 7 of 9", "50.5 % done", "[1]", "1.2.3/4")] == [(2.0, 5.0), None, (7.0, 9.0), (50.0, 100.0), None, None]
