@@ -51,3 +51,42 @@ def test_rules_find_planted_thresholds():
         got |= quality._covers(x, r)
     assert (got == bad).mean() > 0.95 and all(len(r) <= 4 for r in rules)
     assert quality.learn(x, np.zeros(3000, bool)) == []
+
+
+def all_counts(text):
+    """Every count of a text, by the names in COUNTS."""
+    t = text or ""
+    n, chars, symbols, dups, repeats = plain(t)
+    within = lambda cs: sum(t.count(c) for c in cs)
+    lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+    return dict(zip(quality.COUNTS, (n, chars, symbols, dups, repeats, lines, within("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), within("0123456789"), within("!?"), within(".,;:"))))
+
+
+def plain_kept(c, rules):
+    """The verdict of the base rules and the list, from counts."""
+    if c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"]:
+        return False
+    x = [c[a] / max(c[b], 1) for _, a, b in quality.RATIOS] + [float(c["n_words"])]
+    return not any(all(x[j] >= t if least else x[j] <= t for j, least, t in rule) for rule in rules)
+
+
+def test_verdicts_match_the_list(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    rules = quality.fit(quality.statistics(docs), quality.marked(labels, 40_000))
+    assert {r.doc_id: r.kept for r in quality.op5_quality_rules(spark, sf).collect()} == {d: plain_kept(all_counts(t), rules) for d, t in text.items()}
+    got = quality.statistics(docs).collect()
+    assert all({k: r[k] for k in quality.COUNTS} == all_counts(text[r.doc_id]) for r in got)
+
+
+def test_labels_with_nulls_repeats_and_a_bound(spark):
+    good, bad = " ".join(f"w{i}" for i in range(80)), " ".join(f"w{i} ##" for i in range(60))
+    rows = [(i, f"{good} {i}" if i % 2 else f"{bad} {i}") for i in range(300)] + [(0, good), (None, good), (301, " ".join(f"x{i}" for i in range(300_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)] * 2 + [(None, 0, 0), (4, None, 1), (9999, 0, 0)], "doc_id long, quality int, toxic int")
+    known = quality.marked(labels, 100).collect()
+    assert len(known) == 100 == len({r.doc_id for r in known}) and known == quality.marked(labels, 100).collect()
+    for most in (40_000, 120):
+        got = quality.judge(docs, labels, most).collect()
+        assert len(got) == len(rows)
+        assert all(r.kept == (r.n_symbols == 0) for r in got if r.doc_id not in (0, None))

@@ -1,4 +1,8 @@
+import math
 import random
+import re
+import zlib
+from functools import lru_cache
 
 import numpy as np
 from quillstream.llm import toxicity
@@ -66,3 +70,46 @@ def test_query(spark, sf):
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
     right = [r.predicted == label[r.doc_id] for r in got if r.held_out and r.doc_id in label]
     assert np.mean(right) > 0.8
+
+
+def plain_score(text, weight, bias):
+    """The score of one text: the weights of the words and word beginnings that it has, each once."""
+    found = set()
+    for w in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode()):
+        w = bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+        found |= {(0, w), *((k, w[: toxicity.HEADS[k]]) for k in (1, 2, 3) if len(w) > toxicity.HEADS[k])}
+    # Features share a weight if their numbers agree, and count once.
+    numbers = {feature_number(k, w) for k, w in found}
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weight.get(n, 0.0) for n in numbers) + bias))))
+
+
+@lru_cache(maxsize=None)
+def feature_number(k, w):
+    """The number of a whole word (k = 0) or of a beginning, which a longer word gives."""
+    raw = w if not k else w + b"a" * 9
+    f, _ = toxicity.tokens(np.frombuffer(raw, np.uint8), np.asarray([0, len(raw)]), toxicity._hasher())
+    return int(f[0, k])
+
+
+def test_query_matches_plain_scores(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = toxicity.op10_toxicity(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(text)
+    for r in got:
+        want = plain_score(text[r.doc_id], weight, model.bias)
+        assert abs(r.score - want) < 1e-9 and r.predicted == (want >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_more_labels_than_the_bound_and_repeats(spark):
+    words = "alpha beta gamma delta".split()
+    docs = spark.createDataFrame([(i % 60, f"{words[i % 4]} {'scum' if i % 60 % 3 == 0 else 'fine'} {i}") for i in range(240)] + [(7, " ".join(["long"] * 200_000))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 60, 1, int(i % 60 % 3 == 0)) for i in range(180)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    one = toxicity.labelled(docs, labels, 1000).collect()
+    assert len(one) == len({r.doc_id for r in one}) and not any(toxicity.crc_held_out(r.doc_id) for r in one)
+    few = [sorted(r.doc_id for r in toxicity.labelled(docs, labels, 11).collect()) for _ in range(2)]
+    assert few[0] == few[1] and len(few[0]) == 11
+    got = toxicity.classify(docs, labels, max_labelled=30).collect()
+    assert len(got) == 241 and np.mean([r.predicted == (r.doc_id % 3 == 0) for r in got if r.doc_id != 7]) > 0.95
