@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -40,13 +40,24 @@ def scan_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> D
     return scan_lenient(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with file, block (where the task's part of the file begins), and id, which rises by one a line within a block."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")]
+    return lines.select(*where, F.regexp_replace("value", "\r$", "").alias("value"))
+
+
 def numbered(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with file, pos (from 1 in each file) and value.
 
-    Each file is read whole by one task; use it for manifests whose errors must name a line.
+    Files are split as usual; the lines before a block are a sum over the file's blocks, of which
+    there are as many as tasks.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("lines"))
-    return files.select("file", F.posexplode("lines").alias("pos", "value")).select("file", (F.col("pos") + 1).alias("pos"), "value")
+    rows = _placed(spark, path)
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    return rows.join(blocks, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("pos"), "value")
 
 
 def violations(spark: SparkSession, path: str) -> DataFrame:
@@ -68,10 +79,10 @@ def scan_strict(spark: SparkSession, path: str, schema: StructType | str) -> Dat
 
 
 def last_records(spark: SparkSession, path: str) -> DataFrame:
-    """The last line of each file that is a JSON object, as text."""
-    lines = numbered(spark, path).withColumn("v", F.try_parse_json("value"))
+    """The last line of each file that is a JSON object, as text; each block gives its last one, and of these the last block's counts."""
+    lines = _placed(spark, path).withColumn("v", F.try_parse_json("value"))
     objects = lines.where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
-    return objects.groupBy("file").agg(F.max_by("value", "pos").alias("value"))
+    return objects.groupBy("file").agg(F.max_by("value", F.struct("block", "id")).alias("value"))
 
 
 def scan_sidecars(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:

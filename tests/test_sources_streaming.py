@@ -205,3 +205,17 @@ def test_tracked_commands(tmp_path):
         state = json.loads((tmp_path / f"j{exit_code}.json").read_text())
         assert (got, len(last), state["status"], state["total"], state["metrics"]) == (exit_code, 30, status, 4.0, {"loss": 0.5})
     assert [tasks.read_line(x) for x in ("epoch 2/5", "x 7 of 9", "items: 7 of 9", "50.5 % done", "[1]", "1.2.3/4")] == [(2.0, 5.0), None, (7.0, 9.0), (50.0, 100.0), None, None]
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"n": f"{name}{i}", "x": "y" * (i % 50)}) + ("\r\n" if i % 3 else "\n") for i in range(3000)) + ("[1]\n" if name == "b" else '{"last": 1}'))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = {(r.file.rsplit("/", 1)[1], r.pos): r.value for r in jsonl.numbered(spark, str(tmp_path)).collect()}
+        assert len(got) == 6002 and all(json.loads(got[f"{f}.jsonl", i + 1])["n"] == f"{f}{i}" for f in "ab" for i in range(3000))
+        assert [(r.pos, r.problem) for r in jsonl.violations(spark, str(tmp_path)).collect()] == [(3001, "not an object")]
+        assert sorted(r.value[:9] for r in jsonl.last_records(spark, str(tmp_path)).collect()) == ['{"last": ', '{"n": "b2']
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
