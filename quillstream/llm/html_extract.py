@@ -39,6 +39,8 @@ IMPLIED = {
 }
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\b(hidden)\b""")
+#: A slash that ends an element at once; one that belongs to a value without quotes doesn't.
+_EMPTY = re.compile(r"""(?:^|[\s"'])/$""")
 _OPEN = re.compile(r"<[!?].*", re.S)
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -169,7 +171,7 @@ def parse(source: str, labelled: bool = True) -> Page:
             elif not raw.endswith("/"):
                 push(tag, None)
                 dropped += 1
-        elif not raw.endswith("/"):
+        elif not _EMPTY.search(raw):
             push(tag, None)
             links += tag == "a"
     pop(1)
@@ -405,6 +407,10 @@ def _labelled(rng: random.Random) -> str:
     def links(n: int) -> list[str]:
         return [f'<a href="/x">{words(1, 4)}</a>' for _ in range(n)]
 
+    def aside(lo: int, hi: int) -> str:
+        """A sentence that may lead elsewhere."""
+        return sentence(lo, hi) + (f' <a href="/z">{words(1, 4)}</a>' if rng.random() < 0.25 else "")
+
     def other(kind: str, inside: bool = False) -> str:
         # A paragraph of an article that no name sets apart is one of its own.
         specs = [x for x in OUTSIDE[kind].split(";") if not (inside and naming != "usual" and x[:2] == "p.")]
@@ -421,11 +427,11 @@ def _labelled(rng: random.Random) -> str:
         if kind == "form":
             return a + f'<label>{words(1, 4)}</label><input name="q"><button>Go</button> {sentence(1, 12)}' + z
         if kind == "comments" and not a.startswith("<p"):
-            said = "".join(f'<div data-y="2"><p data-y="2">{rng.choice(["", "<b>" + words(1, 3) + "</b> "])}{sentence(3, 30)}</p>{rng.choice(["", "<a href=/r>Reply</a>"])}</div>' for _ in range(rng.randrange(1, 6)))
+            said = "".join(f'<div data-y="2"><p data-y="2">{rng.choice(["", "<b>" + words(1, 3) + "</b> "])}{aside(3, 30)}</p>{rng.choice(["", "<a href=/r>Reply</a>"])}</div>' for _ in range(rng.randrange(1, 6)))
             return a + (f'<h3 data-y="2">{rng.choice(["Comments", "3 comments", "Responses", "Discussion"])}</h3>' if rng.random() < 0.6 else "") + said + z
         if a.startswith("<p") or form < 0.55:
-            return a + sentence(2, 24) + z
-        body = "".join(f'<{t} data-y="2">{sentence(2, 24)}</{t}>' for t in rng.choices(["p", "p", "div", "h3", "h4"], k=rng.randrange(1, 4)))
+            return a + aside(2, 24) + z
+        body = "".join(f'<{t} data-y="2">{aside(2, 24)}</{t}>' for t in rng.choices(["p", "p", "div", "h3", "h4"], k=rng.randrange(1, 4)))
         return a + body + z
 
     plain = naming in ("none", "opaque") or layout != "parts"
