@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import scratch, slices, table, texts
+from .common import bounded, scope, scratch, slices, table, texts
 from .wordhash import Hasher, inside, mix, words
 
 #: The counts per document, all long.
@@ -160,16 +160,18 @@ def expression(rules: list[Rule]) -> Column:
     return out
 
 
-def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = 40_000) -> list[Rule]:
-    """Rules from the rows with a label, of at most about ``max_labelled`` documents chosen by hash.
-
-    A document with several labels counts as bad if one says so; null labels are left out.
-    """
+def marked(labels: DataFrame, max_labelled: int) -> DataFrame:
+    """doc_id and quality of at most ``max_labelled`` labelled documents, chosen by hash; that bound makes
+    their broadcast safe. A document with several labels counts as bad if one says so; null labels are left out."""
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    n = known.count()
-    if n > max_labelled:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * max_labelled / n))
-    rows = stats.join(known, "doc_id").select(*features(), "quality", "doc_id").toPandas().sort_values(["doc_id", *NAMES])
+    return F.broadcast(bounded(known, "doc_id", max_labelled))
+
+
+def fit(stats: DataFrame, known: DataFrame) -> list[Rule]:
+    """Rules from the rows of ``stats`` whose id ``known`` has (see marked()); of rows that share an id one
+    is taken, the one with the least counts, so the ids bound what reaches the driver."""
+    one = stats.join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*COUNTS)).alias("c")).select("doc_id", "quality", "c.*")
+    rows = one.select(*features(), "quality", "doc_id").toPandas().sort_values(["doc_id", *NAMES])
     return learn(rows[NAMES].to_numpy(float), rows["quality"].to_numpy() == 0)
 
 
@@ -181,22 +183,23 @@ def judge(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000) -> Dat
 
     Defined cases: a null or empty text has no words and fails the base; repeated rows are judged
     alike; without labels, or without bad ones, the list is empty and the base alone decides; an
-    empty table gives no rows. No shuffle of texts: one pass gives the counts, the rest is
+    empty table gives no rows; only doc_id and text are read, so further columns may have any name. No shuffle of texts: one pass gives the counts, the rest is
     conditional expressions over them.
     """
     stats = scratch(statistics(docs))
-    rules = fit(stats, labels, max_labelled)
+    rules = fit(stats, marked(labels, max_labelled))
     f = stats.select("*", *features()).withColumn("base_failed", F.expr(BASE))
     return f.withColumn("kept", ~F.col("base_failed") & expression(rules)).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 def retain(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000) -> DataFrame:
     """The rows of ``docs`` that judge() keeps, with all their columns. Each row is judged by its own
-    text, whatever its id; only labelled documents' counts are gathered for the fit, and nothing is joined after it."""
-    ids = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct()
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    stats = scratch(statistics(labelled.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")))
-    rules = fit(stats, labels, max_labelled)
+    text, whatever its id; only labelled documents' counts are gathered for the fit, and nothing is joined
+    after it. Defined cases as in judge(); columns may have any name, as they stay within a struct."""
+    known = marked(labels, max_labelled)
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.select("doc_id"), "doc_id", "left_semi")
+    with scope():
+        rules = fit(scratch(statistics(labelled)), known)
     f = statistics(docs, whole=True).select("*", *features())
     return f.where(~F.expr(BASE) & expression(rules)).select("row.*")
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, scratch, slices, table, texts, unkeyed
+from .common import bounded, keyed, scratch, slices, table, texts, unkeyed
 from .wordhash import Hasher, mix
 
 #: Groups of identity terms, lower case; a term is swapped for others of its group.
@@ -84,14 +84,13 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """doc_id, text, toxic of at most ``most`` labelled rows that aren't held out, chosen by hash.
 
     That bound is what makes the broadcast of their ids safe. A document with several labels counts
-    as toxic if one says so.
+    as toxic if one says so; of rows that share a labelled id one is taken, with the smallest text.
     """
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    n = known.count()
-    if n > most:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(0.95e6 * most / n)).limit(most)
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id")
+    known = bounded(known, "doc_id", most)
+    found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def example_features(rows: DataFrame) -> DataFrame:

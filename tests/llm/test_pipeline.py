@@ -92,3 +92,26 @@ def test_quality_judges_each_row_by_its_own_text(spark, sf, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string")
     got = p.quality_rules(spark, docs, str(tmp_path))
     assert got.schema == docs.schema and Counter(map(tuple, got.collect())) == Counter(r for r in rows if r[1] == good)
+
+
+CASES = [(1, None), (2, ""), (3, "  \n "), (4, " ".join(f"w{i}" for i in range(60))), (5, " ".join(f"v{i}" for i in range(30_000))), (5, " ".join(f"v{i}" for i in range(30_000)))]
+NAMES = ["_size", "_keep", "_kept", "_row", "_d", "_h", "row", "k", "key", "base", "spans", "n_words", "quality", "digest"]
+
+
+def test_stages_take_any_row_and_name(spark, sf):
+    """Null, empty and very long texts, repeated rows, empty tables, and columns whose names a stage might use itself."""
+    rows = [(d, t, "en", None if d == 4 else "s", len(t or ""), *(f"{n}{d}" for n in NAMES)) for d, t in CASES]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in NAMES))
+    want = {0: [4, 5, 5], 1: [1, 2, 3, 4, 5], 2: [1, 2, 3, 4, 5, 5]}
+    whole = {r[0]: r for r in rows}
+    for k, (_, stage) in enumerate(p.STAGES):
+        got, none = stage(spark, docs, sf), stage(spark, docs.limit(0), sf)
+        assert none.count() == 0
+        if k == len(p.STAGES) - 1:
+            assert {r.doc_id for r in got.collect()} == {1, 2, 3, 4, 5}
+            continue
+        assert got.schema == docs.schema == none.schema
+        found = got.collect()
+        assert all(tuple(r) == whole[r.doc_id] for r in found)
+        if k in want:
+            assert sorted(r.doc_id for r in found) == want[k]
