@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions import profiles as p
@@ -225,7 +225,7 @@ ORIENTATION = StructType(
 
 
 def analyzed(ink: np.ndarray, width: float, height: float) -> tuple:
-    """The fields of ORIENTATION for one mask of ink; see orientation()."""
+    """The fields of ORIENTATION for one mask of ink; see orient()."""
     across, down = _score(ink.mean(axis=1)), _score(ink.mean(axis=0))
     margin, base = across[0] - down[0], 0 if across[0] >= down[0] else 90
     sides = [(a, *_upright(np.rot90(ink, a // 90))) for a in (base, base + 180)]
@@ -240,17 +240,20 @@ def analyzed(ink: np.ndarray, width: float, height: float) -> tuple:
     return (angle, min(1.0, 0.75 * axis + 0.25 * direction), axis, direction, across[0], down[0], across[1], down[1], across[2], down[2], share, votes, ambiguous, [k for k, on in flags.items() if on], [tuple(x) for x in sides])
 
 
-@pandas_udf(ORIENTATION)
-def orientation(ink: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
-    """Of a mask of ink (array of rows of booleans or numbers) the angle that makes its lines run across and
-    stand upright, how sure that is, and flags (an Arrow UDF). Lines make sharp bands in the profile of
-    their axis; of both directions the one wins in which lines are heavier below their middle."""
-    rows = [analyzed(np.asarray([list(r) for r in m], dtype=float) > 0, w, h) for m, w, h in zip(ink, width, height, strict=True)]
-    return pd.DataFrame(rows, columns=ORIENTATION.names)
+def orient(pages: DataFrame, ink: str, width: str, height: str) -> DataFrame:
+    """``pages`` with ``orientation``: of a mask of ink (array of rows of booleans or numbers) the angle that
+    makes its lines run across and stand upright, how sure that is, and flags (Arrow batches, no shuffle).
 
+    Lines make sharp bands in the profile of their axis; of both directions the one wins in which
+    lines are heavier below their middle.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [analyzed(np.asarray([list(r) for r in m], dtype=float) > 0, w, h) for m, w, h in zip(part[ink], part[width], part[height], strict=True)]
+            yield part.assign(orientation=[dict(zip(ORIENTATION.names, r, strict=True)) | {"upright": [dict(zip(_SIDE.names, x, strict=True)) for x in r[-1]]} for r in rows])
 
-# Its result is used field by field; this keeps Spark from copying the call into each use.
-orientation = orientation.asNondeterministic()
+    return pages.mapInPandas(run, StructType([*pages.schema.fields, StructField("orientation", ORIENTATION)]))
 
 
 def by_geometry(found: Column) -> Column:

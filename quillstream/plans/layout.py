@@ -174,5 +174,6 @@ def orientations(spark: SparkSession, d: str) -> DataFrame:
     """The orientation of masks of 48 rows, each entry of a profile a block of ink."""
     row = lambda i: F.transform("embedding", lambda x: (F.abs(x) > 0.05) & (i % 6 < 3))
     ink = F.transform(F.sequence(F.lit(0), F.lit(47)), row)
-    found = table(spark, d, "embeddings").select("vec_id", ink.alias("ink")).select("vec_id", layout.orientation("ink", F.lit(64), F.lit(48)).alias("o"))
+    masks = table(spark, d, "embeddings").select("vec_id", ink.alias("ink"), F.lit(64).alias("w"), F.lit(48).alias("h"))
+    found = layout.orient(masks, "ink", "w", "h").select("vec_id", c("orientation").alias("o"))
     return found.select("vec_id", "o.angle", F.round("o.confidence", 6).alias("confidence"), "o.ambiguous", F.array_join("o.flags", ",").alias("flags"), layout.by_geometry(c("o"))["transform"].alias("transform"))

@@ -160,7 +160,7 @@ def page(h=400, w=300, lines_=12):
 
 def found(spark, ink, w=300, h=400):
     d = spark.createDataFrame([(ink.tolist(), w, h)], "ink array<array<boolean>>, w int, h int")
-    return d.select(layout.orientation("ink", "w", "h").alias("o")).first().o
+    return layout.orient(d, "ink", "w", "h").first().orientation
 
 
 def test_orientation(spark):
