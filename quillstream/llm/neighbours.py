@@ -89,17 +89,20 @@ class Index:
         h = self.first.shape[1]
         a, b = self.first @ q[:h], self.second @ q[h:]
         ia, ib = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
-        heap, seen, out, got = [(-(a[ia[0]] + b[ib[0]]), 0, 0)], {(0, 0)}, [], 0
+        down, along, held = (-a[ia]).tolist(), (-b[ib]).tolist(), self.count[np.ix_(ia, ib)].tolist()
+        # One entry a row: the next cell of a row replaces it, and a row's first cell brings the next row's.
+        heap, out, got, ia, ib = [(down[0] + along[0], 0, 0)], [], 0, ia.tolist(), ib.tolist()
         while heap and got < want:
-            _, i, j = heapq.heappop(heap)
-            n = self.count[ia[i], ib[j]]
-            if n:
-                out.append((int(ia[i]), int(ib[j])))
-                got += int(n)
-            for x, y in ((i + 1, j), (i, j + 1)):
-                if x < len(ia) and y < len(ib) and (x, y) not in seen:
-                    seen.add((x, y))
-                    heapq.heappush(heap, (-(a[ia[x]] + b[ib[y]]), x, y))
+            _, i, j = heap[0]
+            if n := held[i][j]:
+                out.append((ia[i], ib[j]))
+                got += n
+            if j + 1 < len(along):
+                heapq.heapreplace(heap, (down[i] + along[j + 1], i, j + 1))
+            else:
+                heapq.heappop(heap)
+            if j == 0 and i + 1 < len(down):
+                heapq.heappush(heap, (down[i + 1] + along[0], i + 1, 0))
         return out
 
 
@@ -161,7 +164,7 @@ def _search(rows: DataFrame, every: int, k: int, recall: float, sample: int, blo
     n = classes.count()
     if not n:
         return spark.createDataFrame([], out_schema)
-    index, known = train(classes, n, 1 << min(10, max(3, round(np.log2(n**0.5 / 1.5)))), sample)
+    index, known = train(classes, n, 1 << min(10, max(3, round(np.log2(n**0.5 / 3)))), sample)
     want = max(20 * k, int((index.share(known, k, recall) if share is None else share) * n))
     second = len(index.second)
 
